@@ -539,13 +539,15 @@ def sanitize_messages(df: DataFrame, message: str = "message") -> DataFrame:
     return df.withColumn(message, F.when(hidden, HIDDEN_MESSAGE).otherwise(F.col(message)))
 
 
-def gate_batches(validated: DataFrame) -> DataFrame:
+def gate_batches(validated: DataFrame, event_count: Column | None = None) -> DataFrame:
     """Verdict per batch: one bad event rejects the whole batch."""
     bad = F.size("issues") > 0
+    if event_count is None:
+        event_count = F.coalesce(F.size("events"), F.lit(0))
     return validated.select(
         "batch_id",
         (~bad).alias("accepted"),
-        F.when(bad, F.coalesce(F.size("events"), F.lit(0))).otherwise(0).alias("failed"),
+        F.when(bad, event_count).otherwise(0).alias("failed"),
         F.when(bad, "batch").alias("error_event_id"),
         F.when(bad, F.concat(F.lit("Validation failed: "), first_message(F.col("issues"))))
         .alias("error"),
