@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions import variants as V
 
@@ -91,7 +92,7 @@ def redact_json(text: Column, any_depth: bool = False) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _redact_deep(texts: pd.Series) -> pd.Series:
     def members(obj: dict) -> dict:
         return {
