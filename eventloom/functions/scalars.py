@@ -20,9 +20,9 @@ def is_uuid(text: Column) -> Column:
 
 
 def is_iso(text: Column) -> Column:
-    """UTC date-time text ending in ``Z`` that names a real calendar day."""
+    """UTC date-time text ending in ``Z`` that names a real calendar day; NULL for NULL."""
     day = F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd"))
-    return text.rlike(ISO_PATTERN) & day.isNotNull()
+    return F.when(text.isNotNull(), text.rlike(ISO_PATTERN) & day.isNotNull())
 
 
 def instant(text: Column) -> Column:

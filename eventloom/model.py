@@ -23,6 +23,9 @@ PAGE_FIELD_MAX = 2048
 
 RETENTION_DAYS = 365
 
+# JSON files keep microseconds; the default writer would cut them.
+JSON_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
 
 @dataclass(frozen=True)
 class Limits:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.scalars import epoch_millis, instant
 from eventloom.functions.variants import fields_of
-from eventloom.model import POINTER_SCHEMA, RAW_SCHEMA
+from eventloom.model import JSON_TIME, POINTER_SCHEMA, RAW_SCHEMA
 from eventloom.operators.dedup import broadcast_if_small, first_per_key
 from eventloom.sources import paths
 
@@ -51,7 +51,7 @@ def to_raw_batches(df: DataFrame, events: str = "events_value") -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_SCHEMA).json(path)
+    return spark.read.schema(RAW_SCHEMA).options(**JSON_TIME).json(path)
 
 
 def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -> None:
@@ -76,7 +76,7 @@ def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -
     (
         new.select(*RAW_SCHEMA.fieldNames())
         .hint("rebalance", *RAW_PARTITIONS)
-        .write.mode(mode).option("partitionOverwriteMode", "static")
+        .write.mode(mode).option("partitionOverwriteMode", "static").options(**JSON_TIME)
         .partitionBy(*RAW_PARTITIONS).json(target)
     )
 
@@ -101,7 +101,10 @@ def raw_partitions_hive(raw: DataFrame) -> DataFrame:
 def write_raw_hive(raw: DataFrame, path: str) -> None:
     rows = raw_partitions_hive(raw)
     keys = ("app_id", "env", "dt", "hour")
-    rows.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).json(path)
+    (
+        rows.hint("rebalance", *keys)
+        .write.mode("append").options(**JSON_TIME).partitionBy(*keys).json(path)
+    )
 
 
 def make_pointers(raw: DataFrame) -> DataFrame:
