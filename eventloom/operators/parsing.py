@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.scalars import is_uuid, md5_uuid
-from eventloom.functions.variants import as_array, fields_of, kind_of
+from eventloom.functions.variants import as_array, fields_of
 
 ENVELOPE_FIELDS = ("schemaVersion", "sentAt", "events")
 
@@ -40,7 +40,8 @@ def open_envelopes(df: DataFrame, envelope: str = "envelope") -> DataFrame:
 def explode_events(df: DataFrame, events: str = "events") -> DataFrame:
     """One row per event with its position in the batch."""
     kept = [c for c in df.columns if c != events]
-    return df.select(*kept, F.posexplode(events).alias("event_index", "event"))
+    exploded = df.select(*kept, F.posexplode_outer(events).alias("event_index", "event"))
+    return exploded.where("event_index IS NOT NULL")
 
 
 def request_id(header: Column, fallback: Column | None = None) -> Column:
@@ -84,7 +85,3 @@ def batch_summary(df: DataFrame, events: str = "events", accepted: str = "accept
         ids.alias("event_ids"),
         F.col(accepted).alias("accepted"),
     )
-
-
-def events_kind(value: Column) -> Column:
-    return kind_of(value)

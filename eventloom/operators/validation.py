@@ -7,6 +7,9 @@ order in which the contract's fields are declared.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,9 @@ PAGE_MEMBERS = ("url", "path", "referrer", "title")
 CONSENT_FLAGS = ("analytics", "experimentation", "personalization")
 CONSENT_MEMBERS = (*CONSENT_FLAGS, "timestamp")
 
+# Re-writing can widen a number such as 1e20 to its digits, at most this many times.
+WIDENING = 6
+
 SENSITIVE_WORDS = "password|token|secret|key|authorization"
 HIDDEN_MESSAGE = "Validation error occurred"
 
@@ -103,24 +109,35 @@ def read_events(events: Column) -> Column:
 
 # ---------------------------------------------------------------- rules
 
+# Inside the checks an issue is one string, ``rule, code, path, message``; the message
+# comes last, so it may hold any character.
+_SEP = "\u0001"
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _unpack(packed: Column, index: Column, prefix: Column) -> Column:
+    def one(text: Column) -> Column:
+        return V.bind(F.split(text, _SEP, 4), lambda part: F.struct(
+            index.alias("event_index"), part[0].alias("rule"),
+            F.concat(prefix, part[2]).alias("path"), part[3].alias("message"),
+            part[1].alias("code")))
+
+    return F.transform(packed, one)
+
+
 class _Rules:
-    """Builds issues below one path."""
+    """Collects the checks of one object, in order."""
 
-    def __init__(self, index: Column | None, prefix: Column | str) -> None:
-        self.index = F.lit(None).cast("int") if index is None else index
-        self.prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
+    def __init__(self) -> None:
         self.found: list[Column] = []
 
-    def issue(self, rule: str, path: str, message: Column | str, code: str) -> Column:
-        text = F.lit(message) if isinstance(message, str) else message
-        full = F.concat(self.prefix, F.lit(path)) if path else self.prefix
-        return F.struct(
-            self.index.alias("event_index"),
-            F.lit(rule).alias("rule"),
-            full.alias("path"),
-            text.alias("message"),
-            F.lit(code).alias("code"),
-        )
+    @staticmethod
+    def issue(rule: str, path: str, message: Column | str, code: str) -> Column:
+        head = _SEP.join((rule, code, path, ""))
+        return F.lit(head + message) if isinstance(message, str) else F.concat(F.lit(head), message)
 
     def add(self, column: Column) -> None:
         self.found.append(column)
@@ -178,7 +195,7 @@ class _Rules:
         self.add(F.when(bad, self.wrong_type(rule, path, "object", V.kind_of(value))))
 
     def column(self) -> Column:
-        return F.filter(F.array(*self.found), lambda i: i.isNotNull())
+        return F.array_compact(F.array(*self.found))
 
 
 def _too_long(text: Column, limit: int) -> tuple[Column, str, str]:
@@ -195,7 +212,7 @@ def _not_iso(text: Column) -> tuple[Column, str, str]:
 
 def _event_issues(e: Column, index: Column, limits: Limits) -> Column:
     """Issues of one event; an unknown type hides all other checks."""
-    head = _Rules(index, F.concat(F.lit("events."), index.cast("string")))
+    head = _Rules()
     not_object = head.wrong_type("event_type", "", "object", V.kind_of(e["raw"]))
     listed = " | ".join(f"'{t}'" for t in EVENT_TYPES)
     unknown_type = head.issue(
@@ -205,39 +222,40 @@ def _event_issues(e: Column, index: Column, limits: Limits) -> Column:
     known_type = F.coalesce(
         (e["type"]["kind"] == "string") & e["type"]["text"].isin(*EVENT_TYPES), F.lit(False)
     )
-    return (
+    packed = (
         F.when(e["m"].isNull(), F.array(not_object))
         .when(~known_type, F.array(unknown_type))
-        .otherwise(_member_issues(e, index, limits))
+        .otherwise(_member_issues(e, limits))
     )
+    return _unpack(packed, index, F.concat(F.lit("events."), index.cast("string")))
 
 
-def _member_issues(e: Column, index: Column, limits: Limits) -> Column:
-    r = _Rules(index, F.concat(F.lit("events."), index.cast("string"), F.lit(".")))
+def _member_issues(e: Column, limits: Limits) -> Column:
+    r = _Rules()
     m = e["m"]
 
-    r.literal("schema_version", "schemaVersion", e["schemaVersion"], SCHEMA_VERSION)
-    r.text("event_id", "eventId", e["eventId"], required=True,
+    r.literal("schema_version", ".schemaVersion", e["schemaVersion"], SCHEMA_VERSION)
+    r.text("event_id", ".eventId", e["eventId"], required=True,
            checks=((~is_uuid(e["eventId"]["text"]), "Invalid uuid", "invalid_string"),))
-    r.text("occurred_at", "occurredAt", e["occurredAt"], required=True,
+    r.text("occurred_at", ".occurredAt", e["occurredAt"], required=True,
            checks=(_not_iso(e["occurredAt"]["text"]),))
 
     source = e["source"]
-    r.object("source", "source", source, m["source"], required=True)
-    app = _Rules(index, r.prefix)
-    app.text("source", "source.appId", source["appId"], required=True, checks=(
+    r.object("source", ".source", source, m["source"], required=True)
+    app = _Rules()
+    app.text("source", ".source.appId", source["appId"], required=True, checks=(
         (source["appId"]["text"] == "", "String must contain at least 1 character(s)",
          "too_small"),
         _too_long(source["appId"]["text"], IDENTIFIER_MAX),
     ))
-    app.choice("source", "source.platform", source["platform"], PLATFORMS)
-    app.choice("source", "source.env", source["env"], ENVIRONMENTS)
-    app.sized("source", "source.appVersion", source["appVersion"], IDENTIFIER_MAX)
+    app.choice("source", ".source.platform", source["platform"], PLATFORMS)
+    app.choice("source", ".source.env", source["env"], ENVIRONMENTS)
+    app.sized("source", ".source.appVersion", source["appVersion"], IDENTIFIER_MAX)
 
     actor = e["actor"]
-    who = _Rules(index, r.prefix)
+    who = _Rules()
     for name in ACTOR_MEMBERS:
-        who.sized("actor", f"actor.{name}", actor[name], IDENTIFIER_MAX)
+        who.sized("actor", f".actor.{name}", actor[name], IDENTIFIER_MAX)
     readable = F.lit(True)
     for name in ACTOR_MEMBERS:
         readable = readable & F.coalesce(actor[name]["kind"] == "string", F.lit(True))
@@ -246,64 +264,64 @@ def _member_issues(e: Column, index: Column, limits: Limits) -> Column:
     )
     who.add(F.when(
         readable & somebody.isNull(),
-        r.issue("actor", "actor", "At least one of userId or anonymousId must be present",
+        r.issue("actor", ".actor", "At least one of userId or anonymousId must be present",
                 "custom"),
     ))
 
     context = e["context"]
-    where = _Rules(index, r.prefix)
-    where.sized("context", "context.sessionId", context["sessionId"], IDENTIFIER_MAX)
-    where.sized("context", "context.locale", context["locale"], LOCALE_MAX)
-    where.sized("context", "context.timezone", context["timezone"], TIMEZONE_MAX)
-    where.object("context", "context.page", e["page"], e["page_value"])
-    page = _Rules(index, r.prefix)
+    where = _Rules()
+    where.sized("context", ".context.sessionId", context["sessionId"], IDENTIFIER_MAX)
+    where.sized("context", ".context.locale", context["locale"], LOCALE_MAX)
+    where.sized("context", ".context.timezone", context["timezone"], TIMEZONE_MAX)
+    where.object("context", ".context.page", e["page"], e["page_value"])
+    page = _Rules()
     for name in PAGE_MEMBERS:
-        page.sized("context", f"context.page.{name}", e["page"][name], PAGE_FIELD_MAX)
-    tail = _Rules(index, r.prefix)
-    tail.sized("context", "context.userAgent", context["userAgent"], PAGE_FIELD_MAX)
-    tail.object("context", "context.device", V.as_map(e["device_value"]), e["device_value"])
+        page.sized("context", f".context.page.{name}", e["page"][name], PAGE_FIELD_MAX)
+    tail = _Rules()
+    tail.sized("context", ".context.userAgent", context["userAgent"], PAGE_FIELD_MAX)
+    tail.object("context", ".context.device", V.as_map(e["device_value"]), e["device_value"])
 
     consent = e["consent"]
-    agreed = _Rules(index, r.prefix)
+    agreed = _Rules()
     for name in CONSENT_FLAGS:
         kind = consent[name]["kind"]
         agreed.add(F.when(
             kind.isNull() | (kind != "boolean"),
-            r.wrong_type("consent", f"consent.{name}", "boolean", kind),
+            r.wrong_type("consent", f".consent.{name}", "boolean", kind),
         ))
-    agreed.text("consent", "consent.timestamp", consent["timestamp"], required=True,
+    agreed.text("consent", ".consent.timestamp", consent["timestamp"], required=True,
                 checks=(_not_iso(consent["timestamp"]["text"]),))
 
-    named = _Rules(index, r.prefix)
-    named.text("event_name", "name", e["name"], required=True, checks=((
+    named = _Rules()
+    named.text("event_name", ".name", e["name"], required=True, checks=((
         ~e["name"]["text"].rlike(NAME_PATTERN),
         "Event name must be lowercase snake_case with optional dot namespaces",
         "invalid_string",
     ),))
 
-    none = F.array().cast(f"array<{ISSUE.simpleString()}>")
+    none = _none()
     is_identify = e["type"]["text"] == "identify"
     return F.concat(
         r.column(),
         F.when(source.isNotNull(), app.column()).otherwise(none),
         F.when(actor.isNotNull(), who.column()).otherwise(
-            F.array(r.wrong_type("actor", "actor", "object", V.kind_of(m["actor"])))
+            F.array(r.wrong_type("actor", ".actor", "object", V.kind_of(m["actor"])))
         ),
         F.when(context.isNotNull(), F.concat(
             where.column(),
             F.when(e["page"].isNotNull(), page.column()).otherwise(none),
             tail.column(),
         )).when(m["context"].isNotNull(), F.array(
-            r.wrong_type("context", "context", "object", V.kind_of(m["context"]))
+            r.wrong_type("context", ".context", "object", V.kind_of(m["context"]))
         )).otherwise(none),
         F.when(consent.isNotNull(), agreed.column()).when(
             m["consent"].isNotNull(),
-            F.array(r.wrong_type("consent", "consent", "object", V.kind_of(m["consent"]))),
+            F.array(r.wrong_type("consent", ".consent", "object", V.kind_of(m["consent"]))),
         ).otherwise(none),
-        F.when(is_identify, _open_part_issues(r, e["traits"], m["traits"], "traits", limits))
+        F.when(is_identify, _open_part_issues(r, e["traits"], m["traits"], ".traits", limits))
         .otherwise(F.concat(
             named.column(),
-            _open_part_issues(r, e["properties"], m["properties"], "properties", limits),
+            _open_part_issues(r, e["properties"], m["properties"], ".properties", limits),
         )),
     )
 
@@ -313,11 +331,11 @@ def _open_part_issues(
 ) -> Column:
     """Checks of a free-form object: keys, sizes and depth at every level the depth
     limit admits, string lengths at any depth."""
-    none = F.array().cast(f"array<{ISSUE.simpleString()}>")
-    label = path.capitalize()
+    none = _none()
+    label = path[1:].capitalize()
 
     def rule(name: str) -> str:
-        return "traits" if path == "traits" else name
+        return "traits" if path == ".traits" else name
 
     def shape_issue(name: str) -> Column:
         return r.issue(rule(name), path,
@@ -357,14 +375,12 @@ def _open_part_issues(
         F.when(value.isNull(), none)
         .when(members.isNull(),
               F.array(r.wrong_type(rule("properties"), path, "object", V.kind_of(value))))
-        .otherwise(F.filter(
-            F.array(shape, F.when(long_text, long_issue)), lambda i: i.isNotNull()
-        ))
+        .otherwise(F.array_compact(F.array(shape, F.when(long_text, long_issue))))
     )
 
 
 def _envelope_issues(limits: Limits) -> Column:
-    r = _Rules(None, "")
+    r = _Rules()
     version, sent = F.col("__version"), F.col("__sent")
     r.literal("schema_version", "schemaVersion", version, SCHEMA_VERSION)
     r.text("sent_at", "sentAt", sent, checks=(_not_iso(sent["text"]),))
@@ -379,20 +395,19 @@ def _envelope_issues(limits: Limits) -> Column:
             "batch_size", "events",
             f"Batch must not exceed {limits.max_events} events per request", "too_big"))
     )
-    return r.column()
+    return _unpack(r.column(), F.lit(None).cast("int"), F.lit(""))
 
 
-# Types whose failure stops the checks of the object around them.
+# Codes whose failure stops the checks of the object around them.
 _STOPPING_CODES = (
     "invalid_type", "invalid_literal", "invalid_enum_value", "invalid_union_discriminator",
 )
 
 
-def _payload_units(limits: Limits) -> Column:
+def _payload_units() -> Column:
     """Size of the envelope once unknown members are gone, as re-written JSON.
 
-    Re-writing can widen a number at most sixfold, so a body far below the limit
-    is never measured.
+    Only measured where the body could reach the limit at all.
     """
     stripped = F.transform("__read", lambda e: F.struct(*_stripped_members(e)))
     text = F.to_json(F.struct(
@@ -446,7 +461,31 @@ def stripped_context(context: Column, session_id: Column | None = None) -> Colum
     return F.to_variant_object(members)
 
 
-def validate_batches(df: DataFrame, limits: Limits | None = None, body: str | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class _Checks:
+    read: Column
+    issues: Column
+    payload: Column
+    parsed: Column
+
+
+@lru_cache(maxsize=8)
+def _checks(limits: Limits, application: str) -> _Checks:
+    """The check expressions, built once per limits and Spark application: a stream
+    then does not rebuild them for each micro-batch."""
+    per_event = F.flatten(F.transform("__read", lambda e, i: _event_issues(e, i, limits)))
+    no_issue = F.array().cast(f"array<{ISSUE.simpleString()}>")
+    return _Checks(
+        read=read_events(F.col("events")),
+        issues=F.concat(_envelope_issues(limits), F.coalesce(per_event, no_issue)),
+        payload=_payload_units(),
+        parsed=F.transform("__read", parsed_event),
+    )
+
+
+def validate_batches(
+    df: DataFrame, limits: Limits | None = None, body: str | None = None
+) -> DataFrame:
     """Adds ``issues`` and ``parsed`` to opened envelopes (see ``open_envelopes``).
 
     ``issues`` lists every broken rule; ``parsed`` holds the typed, normalised
@@ -454,34 +493,27 @@ def validate_batches(df: DataFrame, limits: Limits | None = None, body: str | No
     request text, whose size spares measuring small payloads.
     """
     limits = limits or Limits()
-    read = (
-        df.withColumn("__version", V.leaf(F.col("schema_version")))
-        .withColumn("__sent", V.leaf(F.col("sent_at")))
-        .withColumn("__read", read_events(F.col("events")))
-    )
-    per_event = F.flatten(F.transform("__read", lambda e, i: _event_issues(e, i, limits)))
-    checked = read.withColumn(
-        "__issues", F.concat(_envelope_issues(limits), F.coalesce(
-            per_event, F.array().cast(f"array<{ISSUE.simpleString()}>")))
-    )
+    checks = _checks(limits, df.sparkSession.sparkContext.applicationId)
+    read = df.withColumns({
+        "__version": V.leaf(F.col("schema_version")),
+        "__sent": V.leaf(F.col("sent_at")),
+        "__read": checks.read,
+    })
+    checked = read.withColumn("__issues", checks.issues)
     text = F.col(body) if body else F.to_json("events")
     stopped = F.exists("__issues", lambda i: i["code"].isin(*_STOPPING_CODES))
     oversize = (
-        (F.octet_length(text) * 6 > limits.max_payload)
+        (F.octet_length(text) * WIDENING > limits.max_payload)
         & ~stopped
-        & (_payload_units(limits) > limits.max_payload)
+        & (checks.payload > limits.max_payload)
     )
-    size_issue = _Rules(None, "").issue(
+    size_issue = _Rules.issue(
         "payload_size", "", f"Payload size must not exceed {limits.max_payload} bytes", "custom")
-    none = F.array().cast(f"array<{ISSUE.simpleString()}>")
-    return (
-        checked.withColumn(
-            "issues",
-            F.concat("__issues", F.when(oversize, F.array(size_issue)).otherwise(none)),
-        )
-        .withColumn("parsed", F.transform("__read", parsed_event))
-        .drop("__version", "__sent", "__read", "__issues")
-    )
+    oversized = F.when(oversize, F.array(size_issue)).otherwise(_none())
+    return checked.withColumns({
+        "issues": F.concat("__issues", _unpack(oversized, F.lit(None).cast("int"), F.lit(""))),
+        "parsed": checks.parsed,
+    }).drop("__version", "__sent", "__read", "__issues")
 
 
 def parsed_event(e: Column) -> Column:
@@ -523,10 +555,14 @@ def parsed_event(e: Column) -> Column:
 # ---------------------------------------------------------------- consumers
 
 def validation_issues(validated: DataFrame) -> DataFrame:
-    """One row per broken rule, with its rank inside the batch."""
+    """One row per broken rule, with its rank inside the batch.
+
+    The outer form is deliberate: for an inner explode the optimizer would add a
+    non-empty filter, push it below the checks and so evaluate them several times.
+    """
     return validated.select(
-        "batch_id", F.posexplode("issues").alias("issue_index", "issue")
-    ).select("batch_id", "issue_index", "issue.*")
+        "batch_id", F.posexplode_outer("issues").alias("issue_index", "issue")
+    ).where("issue IS NOT NULL").select("batch_id", "issue_index", "issue.*")
 
 
 def first_message(issues: Column) -> Column:

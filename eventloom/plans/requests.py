@@ -136,8 +136,8 @@ def validate_requests(df: DataFrame, now: Column, limits: Limits | None = None)
 
 def request_issues(validated: DataFrame) -> DataFrame:
     return validated.select(
-        "request_id", F.posexplode("issues").alias("issue_index", "issue")
-    ).select("request_id", "issue_index", "issue.*")
+        "request_id", F.posexplode_outer("issues").alias("issue_index", "issue")
+    ).where("issue IS NOT NULL").select("request_id", "issue_index", "issue.*")
 
 
 def valid_requests(validated: DataFrame) -> DataFrame:
