@@ -107,29 +107,32 @@ def backlog_age(pointers: DataFrame, done: DataFrame, now: Column,
                 alarm: Alarm = BACKLOG_AGE) -> DataFrame:
     """Age of the oldest waiting pointer at the end of every window up to ``now``.
 
-    ``done`` has ``batch_id`` and ``processed_at``.  Pointers are first reduced to one
-    row per pair of first and last waiting window, so the spread over windows grows
-    with time, not with data.
+    ``done`` has ``batch_id`` and ``processed_at``.  Pointers are reduced to the oldest
+    one per last window of waiting; from there on there is one row per window.
     """
     size = alarm.seconds
     waiting = pointers.select("batch_id", "received_at").join(
         done.select("batch_id", "processed_at"), "batch_id", "left")
     last_end = F.floor(epoch_seconds(now) / size).cast("bigint") - 1
-    first = window_index(F.col("received_at"), size)
     # A pointer done inside a window no longer waits at that window's end.
     last = F.coalesce(window_index(F.col("processed_at"), size) - 1, last_end)
-    spans = (
-        waiting.select(first.alias("first"), F.least(last, last_end).alias("last"), "received_at")
-        .where("last >= first")
-        .groupBy("first", "last").agg(F.min("received_at").alias("oldest"))
-    )
+    latest = waiting.select(F.least(last, last_end).alias("last"), "received_at").where(
+        F.col("last") >= window_index(F.col("received_at"), size)
+    ).groupBy("last").agg(F.min("received_at").alias("received_at"))
+    # At the end of window w waits whoever waits at least until w and came before its
+    # end; the oldest of all that wait until w or longer has come, or nobody has.
+    by_last = Window.orderBy("last")
+    oldest = F.min("received_at").over(by_last.rowsBetween(0, Window.unboundedFollowing))
+    spans = latest.select("last", F.lag("last").over(by_last).alias("before"),
+                          oldest.alias("oldest"))
+    first = F.greatest(F.col("before") + 1, window_index(F.col("oldest"), size))
     ages = spans.select(
-        F.explode(F.sequence("first", "last")).alias("window_no"), "oldest"
+        F.explode(F.sequence(first, F.col("last"))).alias("window_no"), "oldest"
     ).select(
         "window_no",
-        ((F.col("window_no") + 1) * size - epoch_seconds(F.col("oldest"))).alias("age"),
+        ((F.col("window_no") + 1) * size - epoch_seconds(F.col("oldest"))).alias("stat"),
     )
-    return raise_alarms(ages.groupBy("window_no").agg(F.max("age").alias("stat")), alarm)
+    return raise_alarms(ages, alarm)
 
 
 def dead_letter_alarm(dead: DataFrame, ts: str = "received_at",

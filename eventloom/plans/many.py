@@ -1,68 +1,106 @@
-"""A table of requests answered in one pass."""
+"""A table of requests answered together."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.dedup import broadcast_if_small
+from eventloom.operators.dedup import BROADCAST_ROWS, broadcast_if_small
 from eventloom.plans.paging import next_cursor
+from eventloom.session import materialise
 
 # Most selective first; a request goes by the first id it names.
 PATHS = ("session_id", "user_id", "anonymous_id")
-BUCKET_HOURS = 1
-MAX_PAGE = 200
+HOUR, SECOND = 3600, 1
+HOT_ROWS = 100_000
 
 REQUEST_COLUMNS = (
     "request_id", "app_id", "start", "end", "types", "names", "user_id", "anonymous_id",
     "session_id", "limit", "sort",
 )
-
-
-def request_path() -> Column:
-    path = F.lit("app")
-    for name in reversed(PATHS):
-        path = F.when(F.col(name).isNotNull(), name).otherwise(path)
-    return path
-
-
-def _hour(ts: Column) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(3600 * BUCKET_HOURS)).cast("int")
+MEETING = ("app_id", "path", "key", "bucket")
 
 
 def query_many(
-    store: DataFrame, requests: DataFrame, max_page: int = MAX_PAGE,
-    max_broadcast: int | None = None,
+    store: DataFrame, requests: DataFrame, max_broadcast: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Pages of all requests: matching rows with ``request_id``, ``pos``,
     ``has_more`` and ``next_cursor``.
 
-    Requests meet events on app, the id they name and the hour, never on the app
-    alone.  Counts per hour tell which hours a request needs to fill its page, so it
-    is paired with about one page of rows however long its range or hot its key.
+    Requests meet events on app, the id they name and the hour.  Row counts per hour
+    tell which hours a request needs to fill its page, so it is paired with about one
+    page of rows however long its range or hot its key.  Hours with very many rows
+    are narrowed to seconds the same way.
     """
-    wanted = requests.select(
-        *[F.col(c).alias(f"r_{c}") for c in REQUEST_COLUMNS], request_path().alias("path"))
-    counts = {r.path: r["count"] for r in wanted.groupBy("path").count().collect()}
-    parts = [
-        _by_path(store, wanted.where(F.col("path") == path), path, max_broadcast)
-        for path in ("app", *PATHS) if counts.get(path)
+    wanted = _with_path(requests)
+    facts = wanted.agg(
+        F.collect_set("r_path").alias("paths"), F.max("r_limit").alias("limit"),
+        F.min("r_start").alias("start"), F.max("r_end").alias("end")).first()
+    events = _by_path(store, sorted(facts.paths) or ["app"], facts.start, facts.end)
+
+    hours = _spread(wanted, F.col("r_start"), F.col("r_end"), HOUR)
+    needed = materialise(
+        _needed(_bucketed(events, HOUR), hours, HOUR, ("r_request_id",), max_broadcast), "hours")
+    calm, hot = needed.where(F.col("rows") <= hot_rows), needed.where(F.col("rows") > hot_rows)
+    pairs = _meet(_bucketed(events, HOUR), calm, max_broadcast)
+    if not hot.isEmpty():
+        seconds = hot.withColumnRenamed("bucket", "hour").withColumn(
+            "bucket", F.explode(F.sequence(F.col("hour") * HOUR, F.col("hour") * HOUR + HOUR - 1)))
+        in_hot_hours = _bucketed(events, HOUR).join(
+            broadcast_if_small(_renamed(hot).select(*MEETING).distinct(), max_broadcast),
+            list(MEETING), "left_semi")
+        fine = _needed(_bucketed(in_hot_hours, SECOND), seconds.drop("rows"), SECOND,
+                       ("r_request_id", "hour"), max_broadcast)
+        fine = materialise(fine.drop("hour"), "seconds")
+        pairs = pairs.unionByName(_meet(_bucketed(events, SECOND), fine, max_broadcast))
+    return _pages(pairs, facts.limit or 0)
+
+
+def _with_path(requests: DataFrame) -> DataFrame:
+    path, key = F.lit("app"), F.lit("")
+    for name in reversed(PATHS):
+        named = F.col(name).isNotNull()
+        path = F.when(named, name).otherwise(path)
+        key = F.when(named, F.col(name)).otherwise(key)
+    return requests.select(
+        *[F.col(c).alias(f"r_{c}") for c in REQUEST_COLUMNS],
+        path.alias("r_path"), key.alias("r_key"))
+
+
+def _by_path(store: DataFrame, paths: list[str], start, end) -> DataFrame:
+    """Each event once per path in use, within the time any request asks for."""
+    rows = store
+    if start is not None:
+        rows = rows.where(
+            (F.col("occurred_at") >= F.lit(start)) & (F.col("occurred_at") < F.lit(end)))
+        if "dt" in store.columns:
+            rows = rows.where(F.col("dt").between(F.lit(start.date()), F.lit(end.date())))
+    entries = [
+        F.struct(F.lit(p).alias("path"), (F.lit("") if p == "app" else F.col(p)).alias("key"))
+        for p in paths
     ]
-    if not parts:
-        return _pages(_by_path(store, wanted, "app", max_broadcast), max_page)
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    return _pages(pairs, max_page)
+    keyed = rows.withColumn("__entry", F.explode(F.array(*entries)))
+    return keyed.withColumns({
+        "path": F.col("__entry.path"), "key": F.col("__entry.key"),
+    }).drop("__entry").where(F.col("key").isNotNull())
 
 
-def _matches() -> Column:
-    """The request's filters on an event it is paired with."""
-    where = F.lit(True)
-    for name in PATHS:
-        wanted = F.col(f"r_{name}")
-        where = where & (wanted.isNull() | F.coalesce(F.col(name) == wanted, F.lit(False)))
-    return where & _labels_match()
+def _bucket(ts: Column, seconds: int) -> Column:
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds)).cast("bigint")
+
+
+def _bucketed(events: DataFrame, seconds: int) -> DataFrame:
+    return events.withColumn("bucket", _bucket(F.col("occurred_at"), seconds))
+
+
+def _spread(wanted: DataFrame, start: Column, end: Column, seconds: int) -> DataFrame:
+    return wanted.withColumn(
+        "bucket", F.explode(F.sequence(_bucket(start, seconds), _bucket(end, seconds))))
+
+
+def _renamed(spread: DataFrame) -> DataFrame:
+    return spread.withColumnsRenamed({"r_app_id": "app_id", "r_path": "path", "r_key": "key"})
 
 
 def _labels_match() -> Column:
@@ -72,72 +110,64 @@ def _labels_match() -> Column:
     return (types.isNull() | F.array_contains(types, F.col("type"))) & (names.isNull() | named)
 
 
-def _in_range() -> Column:
-    ts = F.col("occurred_at")
-    return (ts >= F.col("r_start")) & (ts < F.col("r_end"))
-
-
-def _by_path(store: DataFrame, requests: DataFrame, path: str,
-             max_broadcast: int | None) -> DataFrame:
-    id_column = None if path == "app" else F.col(path)
-    key = F.lit("") if id_column is None else id_column
-    request_key = F.lit("") if path == "app" else F.col(f"r_{path}")
-    events = store.withColumns({"__key": key, "__hour": _hour(F.col("occurred_at"))})
-    if id_column is not None:
-        events = events.where(id_column.isNotNull())
-    if max_broadcast is None:
-        narrow = broadcast_if_small
-    else:
-        def narrow(df: DataFrame) -> DataFrame:
-            return broadcast_if_small(df, max_broadcast)
-
-    spread = requests.withColumns({"r_key": request_key, "__hour": F.explode(F.sequence(
-        _hour(F.col("r_start")), _hour(F.col("r_end"))))})
-    needed = _needed_hours(events, spread, path)
-    on = (
-        (F.col("app_id") == F.col("r_app_id"))
-        & (F.col("__key") == F.col("r_key"))
-        & (events["__hour"] == F.col("r_hour"))
-        & _in_range() & _matches()
-    )
-    hours = narrow(needed.withColumnRenamed("__hour", "r_hour"))
-    return events.join(hours, on).drop("__key", "__hour", "r_key", "r_hour", "path")
+def _ids_match() -> Column:
+    where = F.lit(True)
+    for name in PATHS:
+        wanted = F.col(f"r_{name}")
+        where = where & (wanted.isNull() | F.coalesce(F.col(name) == wanted, F.lit(False)))
+    return where
 
 
-def _needed_hours(events: DataFrame, spread: DataFrame, path: str) -> DataFrame:
-    """The hours, in the request's order, until the page is full.
+def _needed(
+    events: DataFrame, spread: DataFrame, seconds: int, per: tuple[str, ...], max_broadcast: int
+) -> DataFrame:
+    """The buckets, in the request's order, until the page is full.
 
-    Only hours that lie wholly inside the range count towards the page, and only
-    events that surely match; hours in doubt are kept without being counted.
+    Events are counted before they meet the requests.  Only buckets that lie wholly
+    inside the range count towards the page, and only for requests that name no
+    second id, as others may match fewer rows than counted.
     """
-    sizes = events.groupBy("app_id", "__key", "__hour", "type", "name").agg(
-        F.count("*").alias("__rows"))
-    whole = (F.col("__hour") > _hour(F.col("r_start"))) & (F.col("__hour") < _hour(F.col("r_end")))
-    # A request that names a second id may match fewer rows than the hour holds.
-    others = [n for n in PATHS if n != path]
-    single = F.lit(True)
-    for name in others:
-        single = single & F.col(f"r_{name}").isNull()
-    on = (
-        (F.col("app_id") == F.col("r_app_id"))
-        & (F.col("__key") == F.col("r_key"))
-        & (sizes["__hour"] == spread["__hour"])
+    meeting = list(MEETING)
+    keys = _renamed(spread).select("app_id", "path", "key").distinct()
+    sizes = (
+        events.join(broadcast_if_small(keys, max_broadcast), ["app_id", "path", "key"], "left_semi")
+        .groupBy(*meeting, "type", "name").agg(F.count("*").alias("__rows"))
+    )
+    kept = [c for c in spread.columns if c != "bucket"]
+    found = (
+        sizes.join(spread.withColumnsRenamed({"bucket": "r_bucket"}), [
+            sizes["app_id"] == spread["r_app_id"], sizes["path"] == spread["r_path"],
+            sizes["key"] == spread["r_key"], sizes["bucket"] == F.col("r_bucket")])
+        .where(_labels_match())
+        .groupBy(*kept, "bucket").agg(F.sum("__rows").alias("rows"))
     )
-    found = spread.join(sizes, on).where(_labels_match()).groupBy(
-        *[spread[c] for c in spread.columns if c != "__hour"], spread["__hour"]
-    ).agg(F.sum("__rows").alias("__rows"))
-    sure = F.when(whole & single, F.col("__rows")).otherwise(0)
-    step = F.when(F.col("r_sort") == "asc", F.col("__hour")).otherwise(-F.col("__hour"))
-    before = Window.partitionBy("r_request_id").orderBy(step).rowsBetween(
-        Window.unboundedPreceding, -1)
+    whole = (F.col("bucket") > _bucket(F.col("r_start"), seconds)) & (
+        F.col("bucket") < _bucket(F.col("r_end"), seconds))
+    ids = [F.col(f"r_{name}").isNotNull().cast("int") for name in PATHS]
+    single = (ids[0] + ids[1] + ids[2]) <= 1
+    sure = F.when(whole & single, F.col("rows")).otherwise(0)
+    step = F.when(F.col("r_sort") == "asc", F.col("bucket")).otherwise(-F.col("bucket"))
+    before = Window.partitionBy(*per).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     return (
         found.withColumn("__before", F.coalesce(F.sum(sure).over(before), F.lit(0)))
-        .where(F.col("__before") <= F.col("r_limit"))
-        .drop("__before", "__rows")
+        .where(F.col("__before") <= F.col("r_limit")).drop("__before")
+    )
+
+
+def _meet(events: DataFrame, needed: DataFrame, max_broadcast: int) -> DataFrame:
+    """Requests with the events of the buckets they need."""
+    asked = _renamed(needed.drop("rows"))
+    ts = F.col("occurred_at")
+    return (
+        events.join(broadcast_if_small(asked, max_broadcast), list(MEETING))
+        .where((ts >= F.col("r_start")) & (ts < F.col("r_end")) & _labels_match() & _ids_match())
+        .drop("path", "key", "bucket")
     )
 
 
-def _pages(pairs: DataFrame, max_page: int) -> DataFrame:
+def _pages(pairs: DataFrame, largest: int) -> DataFrame:
+    """The first ``limit`` rows per request; the literal bound lets every task cut its
+    rows before the shuffle."""
     ascending = F.col("r_sort") == "asc"
     order = [
         F.when(ascending, F.col("occurred_at")).asc(),
@@ -148,7 +178,7 @@ def _pages(pairs: DataFrame, max_page: int) -> DataFrame:
     by_request = Window.partitionBy("r_request_id")
     top = (
         pairs.withColumn("pos", F.row_number().over(by_request.orderBy(*order)))
-        .where(F.col("pos") <= max_page + 1)
+        .where(F.col("pos") <= largest + 1)
         .where(F.col("pos") <= F.col("r_limit") + 1)
     )
     return (
@@ -157,5 +187,5 @@ def _pages(pairs: DataFrame, max_page: int) -> DataFrame:
         .withColumn("request_id", F.col("r_request_id"))
         .withColumn("next_cursor", F.when(
             F.col("has_more") & (F.col("pos") == F.col("r_limit")), next_cursor()))
-        .drop(*[f"r_{c}" for c in REQUEST_COLUMNS])
+        .drop(*[f"r_{c}" for c in REQUEST_COLUMNS if f"r_{c}" in top.columns])
     )
