@@ -182,13 +182,14 @@ def batched(events: DataFrame, dirty: bool = False, copies: bool = False,
     ``copies`` sends some events twice inside their batch; ``large_context`` pads
     one event of some batches far beyond a small payload limit.
     """
-    view = canonical(events).withColumn("fault", fault())
+    # Narrow rows are shuffled; the text is built, and the batches are formed, after it.
+    view = canonical(events).withColumn("batch_key", batch_key()).withColumn("fault", fault())
+    view = view.repartition("batch_key", "app_id", "w")
     padded = (F.col("w") % ENVELOPE_CYCLE == 15) & large_context
     view = view.withColumn(
         "filler", F.when(padded, _quoted(F.repeat(F.lit("f"), F.lit(3000)))))
     rows = view.select(
-        "app_id", "w", "n", "received_at",
-        batch_key().alias("batch_key"),
+        "app_id", "w", "n", "received_at", "batch_key",
         event_json(dirty).alias("json"),
         F.explode(F.when((F.col("n") % 200 == 0) & copies, F.sequence(F.lit(0), F.lit(1)))
                   .otherwise(F.array(F.lit(0)))).alias("copy"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions import variants as V
+from eventloom.functions.scalars import contains_any
 
 # A member is hidden if its name contains one of these, in any case.
 SENSITIVE_FRAGMENTS = (
@@ -23,13 +24,12 @@ PII_FRAGMENTS = (
 REDACTED = "[REDACTED]"
 
 _FRAGMENTS = tuple(dict.fromkeys(f.lower() for f in SENSITIVE_FRAGMENTS + PII_FRAGMENTS))
-_PATTERN = "|".join(_FRAGMENTS)
 
 UNROLLED_LEVELS = 4
 
 
 def _hidden(key: Column) -> Column:
-    return F.lower(key).rlike(_PATTERN)
+    return contains_any(F.lower(key), _FRAGMENTS)
 
 
 def _redact_members(members: Column, levels: int) -> Column:
@@ -79,7 +79,7 @@ def redact_json(text: Column, any_depth: bool = False) -> Column:
     it is left out unless asked for, as validated parts are never that deep.
     """
     document = F.try_parse_json(text)
-    suspect = F.lower(text).rlike(_PATTERN)
+    suspect = contains_any(F.lower(text), _FRAGMENTS)
     shallow = V.bind(V.as_map(document), lambda m: F.when(
         m.isNotNull(), F.to_json(_redact_members(m, UNROLLED_LEVELS))))
     if not any_depth:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import variants as V
 from eventloom.functions.scalars import (
     blank_to_null,
+    contains_any,
     instant,
     is_iso,
     is_uuid,
@@ -51,7 +52,7 @@ CONSENT_MEMBERS = (*CONSENT_FLAGS, "timestamp")
 # Re-writing can widen a number such as 1e20 to its digits, at most this many times.
 WIDENING = 6
 
-SENSITIVE_WORDS = "password|token|secret|key|authorization"
+SENSITIVE_WORDS = ("password", "token", "secret", "key", "authorization")
 HIDDEN_MESSAGE = "Validation error occurred"
 
 
@@ -484,7 +485,7 @@ def _checks(limits: Limits, application: str) -> _Checks:
 
 
 def validate_batches(
-    df: DataFrame, limits: Limits | None = None, body: str | None = None
+    df: DataFrame, limits: Limits | None = None, body: str = "body"
 ) -> DataFrame:
     """Adds ``issues`` and ``parsed`` to opened envelopes (see ``open_envelopes``).
 
@@ -500,10 +501,9 @@ def validate_batches(
         "__read": checks.read,
     })
     checked = read.withColumn("__issues", checks.issues)
-    text = F.col(body) if body else F.to_json("events")
     stopped = F.exists("__issues", lambda i: i["code"].isin(*_STOPPING_CODES))
     oversize = (
-        (F.octet_length(text) * WIDENING > limits.max_payload)
+        (F.octet_length(body) * WIDENING > limits.max_payload)
         & ~stopped
         & (checks.payload > limits.max_payload)
     )
@@ -571,7 +571,7 @@ def first_message(issues: Column) -> Column:
 
 def sanitize_messages(df: DataFrame, message: str = "message") -> DataFrame:
     """Replaces any message that mentions a secret-looking word."""
-    hidden = F.lower(F.col(message)).rlike(SENSITIVE_WORDS)
+    hidden = contains_any(F.lower(F.col(message)), SENSITIVE_WORDS)
     return df.withColumn(message, F.when(hidden, HIDDEN_MESSAGE).otherwise(F.col(message)))
 
 

@@ -11,6 +11,7 @@ from eventloom.functions.scalars import epoch_millis, instant
 from eventloom.functions.variants import fields_of
 from eventloom.model import JSON_TIME, POINTER_SCHEMA, RAW_SCHEMA
 from eventloom.operators.dedup import broadcast_if_small, first_per_key
+from eventloom.operators.parsing import explode_events, open_envelopes, parse_bodies
 from eventloom.sources import paths
 
 KEY_PREFIX = "raw-events/"
@@ -28,10 +29,10 @@ def day_parts(ts: Column) -> dict[str, Column]:
     }
 
 
-def raw_key(df: DataFrame) -> DataFrame:
-    """Adds ``app_id`` (of the first event), the day parts and ``storage_location``."""
-    app = F.try_variant_get("events", "$[0].source.appId", "string")
-    keyed = df.withColumn("app_id", F.coalesce(F.nullif(app, F.lit("")), F.lit("unknown")))
+def raw_key(df: DataFrame, app_id: Column) -> DataFrame:
+    """Adds ``app_id`` (``unknown`` if there is none), the day parts and
+    ``storage_location``."""
+    keyed = df.withColumn("app_id", F.coalesce(F.nullif(app_id, F.lit("")), F.lit("unknown")))
     keyed = keyed.withColumns(day_parts(F.col("received_at")))
     file_name = F.concat(
         F.col("batch_id"), F.lit("_"), epoch_millis(F.col("received_at")).cast("string"),
@@ -40,14 +41,11 @@ def raw_key(df: DataFrame) -> DataFrame:
         F.lit(KEY_PREFIX), F.concat_ws("/", *RAW_PARTITIONS, file_name)))
 
 
-def to_raw_batches(df: DataFrame, events: str = "events_value") -> DataFrame:
-    """Accepted batches in the raw table's columns."""
-    batches = df.select(
-        "batch_id", "request_id", "received_at",
-        F.size(F.try_variant_get(events, "$", "array<variant>")).alias("event_count"),
-        F.col(events).alias("events"),
-    )
-    return raw_key(batches).select(*RAW_SCHEMA.fieldNames())
+def to_raw_batches(opened: DataFrame) -> DataFrame:
+    """Opened envelopes as raw batches: the body stays the text it came as."""
+    first_app = F.try_variant_get("events_value", "$[0].source.appId", "string")
+    sized = opened.withColumn("event_count", F.coalesce(F.size("events"), F.lit(0)))
+    return raw_key(sized, first_app).select(*RAW_SCHEMA.fieldNames())
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -83,11 +81,8 @@ def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -
 
 def raw_partitions_hive(raw: DataFrame) -> DataFrame:
     """One row per raw event with the columns of the ``app/env/day/hour`` layout."""
-    return raw.select(
-        "batch_id", "received_at",
-        F.posexplode(F.try_variant_get("events", "$", "array<variant>"))
-        .alias("event_index", "event"),
-    ).select(
+    opened = open_envelopes(parse_bodies(raw.select("batch_id", "received_at", "body")))
+    return explode_events(opened.select("batch_id", "received_at", "events")).select(
         "*",
         F.coalesce(F.try_variant_get("event", "$.source.appId", "string"), F.lit("unknown"))
         .alias("app_id"),
@@ -154,19 +149,19 @@ def distinct_pointers(pointers: DataFrame) -> DataFrame:
 
 
 def found_batches(pointers: DataFrame, raw: DataFrame) -> DataFrame:
-    """The pointers whose batch exists, with its ``events``.
+    """The pointers whose batch exists, with its ``body``.
 
     The days of the pointers restrict the raw scan to their partitions.  A small
     set of pointers is sent to that scan, and the bodies are not shuffled.
     """
     day = day_parts(F.col("received_at"))
     wanted = distinct_pointers(pointers).withColumns({f"__{k}": v for k, v in day.items()})
-    bodies = raw.select(F.col("batch_id").alias("__id"), "events", *RAW_PARTITIONS[1:])
+    bodies = raw.select(F.col("batch_id").alias("__id"), "body", *RAW_PARTITIONS[1:])
     on = F.col("__id") == F.col("batch_id")
     for part in RAW_PARTITIONS[1:]:
         on = on & (F.col(part) == F.col(f"__{part}"))
     return bodies.join(broadcast_if_small(wanted), on).select(
-        *POINTER_SCHEMA.fieldNames(), "events")
+        *POINTER_SCHEMA.fieldNames(), "body")
 
 
 def missing_batches(pointers: DataFrame, found: DataFrame) -> DataFrame:
@@ -175,12 +170,12 @@ def missing_batches(pointers: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def resolve_pointers(pointers: DataFrame, raw: DataFrame) -> DataFrame:
-    """All pointers with the ``events`` of their batch, or the ``error`` row it gives."""
+    """All pointers with the ``body`` of their batch, or the ``error`` row it gives."""
     found = found_batches(pointers, raw)
     lost = missing_batches(pointers, found)
     return found.withColumn("error", F.lit(None).cast("string")).unionByName(
         lost.withColumns({
-            "events": F.lit(None).cast("variant"),
+            "body": F.lit(None).cast("string"),
             "error": F.concat(F.lit(MISSING_BATCH), F.col("batch_id")),
         }))
 

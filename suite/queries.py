@@ -505,7 +505,8 @@ def resolve_pointers(spark, sf_dir):
         raw_store.make_pointers(raw), surviving(raw, spark, sf_dir))
     return resolved.select(
         "batch_id", "request_id",
-        F.size(F.try_variant_get("events", "$", "array<variant>")).alias("events"), "error")
+        F.size(F.try_variant_get(F.try_parse_json("body"), "$.events", "array<variant>"))
+        .alias("events"), "error")
 
 
 @query
