@@ -29,7 +29,7 @@ UNROLLED_LEVELS = 4
 
 
 def _hidden(key: Column) -> Column:
-    return contains_any(F.lower(key), _FRAGMENTS)
+    return V.bind(F.lower(key), lambda k: contains_any(k, _FRAGMENTS))
 
 
 def _redact_members(members: Column, levels: int) -> Column:
@@ -79,7 +79,7 @@ def redact_json(text: Column, any_depth: bool = False) -> Column:
     it is left out unless asked for, as validated parts are never that deep.
     """
     document = F.try_parse_json(text)
-    suspect = contains_any(F.lower(text), _FRAGMENTS)
+    suspect = V.bind(F.lower(text), lambda t: contains_any(t, _FRAGMENTS))
     shallow = V.bind(V.as_map(document), lambda m: F.when(
         m.isNotNull(), F.to_json(_redact_members(m, UNROLLED_LEVELS))))
     if not any_depth:

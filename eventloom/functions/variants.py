@@ -23,9 +23,8 @@ def fields_of(value: Column, names: tuple[str, ...]) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """``string``, ``boolean``, ``void`` (JSON null), ``object``, ``array`` or a
-    number type name; NULL when the member is absent."""
-    return F.lower(F.substring_index(F.schema_of_variant(value), "<", 1))
+    """Type of a parsed value as SQL text; ``VOID`` for JSON null, NULL if absent."""
+    return F.schema_of_variant(value)
 
 
 def leaf(value: Column) -> Column:
@@ -36,9 +35,10 @@ def leaf(value: Column) -> Column:
 
 def described(kind: Column) -> Column:
     """The kind as it is spelled in messages."""
+    plain = F.substring_index(kind, "<", 1)
     return (
-        F.when(kind.isin("string", "boolean", "object", "array"), kind)
-        .when(kind == "void", "null")
+        F.when(plain.isin("STRING", "BOOLEAN", "OBJECT", "ARRAY"), F.lower(plain))
+        .when(plain == "VOID", "null")
         .otherwise("number")
     )
 

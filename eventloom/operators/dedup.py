@@ -16,14 +16,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def known_ids(ids: DataFrame, store: DataFrame) -> DataFrame:
+def known_ids(ids: DataFrame, store: DataFrame, same_day: bool = False) -> DataFrame:
     """The given ``event_id`` values that the store already holds, once each.
 
     Only the id column of the store is read.  A small set of ids is sent to the
-    store's scan, which then is not shuffled.
+    store's scan, which then is not shuffled.  With ``same_day`` an id counts as known
+    only within its app and day, and only those folders of the store are read: enough
+    where a repeated event carries the same time.
     """
-    wanted = broadcast_if_small(ids.select("event_id").distinct())
-    return store.select("event_id").join(wanted, "event_id", "left_semi").distinct()
+    on = ["event_id", "app_id", "dt"] if same_day else ["event_id"]
+    wanted = broadcast_if_small(ids.select(*on).distinct())
+    return store.select(*on).join(wanted, on, "left_semi").select("event_id").distinct()
 
 
 def events_exist(ids: DataFrame, store: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def copies_lookup(events: DataFrame) -> DataFrame:
     )
 
 
-def classify(events: DataFrame, store: DataFrame) -> DataFrame:
+def classify(events: DataFrame, store: DataFrame, same_day: bool = False) -> DataFrame:
     """Adds ``fate`` as if batches were handled one after another by arrival:
 
     ``stored`` for the first copy of a new event, ``repeat`` for further copies in
@@ -83,7 +86,8 @@ def classify(events: DataFrame, store: DataFrame) -> DataFrame:
     lookup = (
         first.withColumn("known", F.lit(False))
         .unionByName(
-            known_ids(events, store).withColumn("known", F.lit(True)), allowMissingColumns=True
+            known_ids(events, store, same_day).withColumn("known", F.lit(True)),
+            allowMissingColumns=True,
         )
         .groupBy("event_id")
         .agg(F.max("first").alias("first"), F.max("known").alias("known"))

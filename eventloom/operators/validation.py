@@ -155,7 +155,7 @@ class _Rules:
     ) -> None:
         """A string member: type first, then the given (failed, message, code) checks."""
         kind = value["kind"]
-        bad = (kind != "string") if not required else (kind.isNull() | (kind != "string"))
+        bad = (kind != "STRING") if not required else (kind.isNull() | (kind != "STRING"))
         rule_column = F.when(bad, self.wrong_type(rule, path, "string", kind))
         for failed, message, code in checks:
             rule_column = rule_column.when(failed, self.issue(rule, path, message, code))
@@ -174,14 +174,14 @@ class _Rules:
             F.concat(F.lit(f"Expected {listed}, received "), V.described(kind))
         )
         self.add(
-            F.when(kind.isNull() | (kind != "string"),
+            F.when(kind.isNull() | (kind != "STRING"),
                    self.issue(rule, path, not_text, "invalid_type"))
             .when(~value["text"].isin(*options),
                   self.issue(rule, path, unknown, "invalid_enum_value"))
         )
 
     def literal(self, rule: str, path: str, value: Column, wanted: str) -> None:
-        same = (value["kind"] == "string") & (value["text"] == wanted)
+        same = (value["kind"] == "STRING") & (value["text"] == wanted)
         self.add(
             F.when(
                 ~F.coalesce(same, F.lit(False)),
@@ -221,7 +221,7 @@ def _event_issues(e: Column, index: Column, limits: Limits) -> Column:
         "invalid_union_discriminator",
     )
     known_type = F.coalesce(
-        (e["type"]["kind"] == "string") & e["type"]["text"].isin(*EVENT_TYPES), F.lit(False)
+        (e["type"]["kind"] == "STRING") & e["type"]["text"].isin(*EVENT_TYPES), F.lit(False)
     )
     packed = (
         F.when(e["m"].isNull(), F.array(not_object))
@@ -259,7 +259,7 @@ def _member_issues(e: Column, limits: Limits) -> Column:
         who.sized("actor", f".actor.{name}", actor[name], IDENTIFIER_MAX)
     readable = F.lit(True)
     for name in ACTOR_MEMBERS:
-        readable = readable & F.coalesce(actor[name]["kind"] == "string", F.lit(True))
+        readable = readable & F.coalesce(actor[name]["kind"] == "STRING", F.lit(True))
     somebody = F.coalesce(
         blank_to_null(actor["userId"]["text"]), blank_to_null(actor["anonymousId"]["text"])
     )
@@ -287,7 +287,7 @@ def _member_issues(e: Column, limits: Limits) -> Column:
     for name in CONSENT_FLAGS:
         kind = consent[name]["kind"]
         agreed.add(F.when(
-            kind.isNull() | (kind != "boolean"),
+            kind.isNull() | (kind != "BOOLEAN"),
             r.wrong_type("consent", f".consent.{name}", "boolean", kind),
         ))
     agreed.text("consent", ".consent.timestamp", consent["timestamp"], required=True,
