@@ -33,16 +33,6 @@ def leaf(value: Column) -> Column:
     )
 
 
-def described(kind: Column) -> Column:
-    """The kind as it is spelled in messages."""
-    plain = F.substring_index(kind, "<", 1)
-    return (
-        F.when(plain.isin("STRING", "BOOLEAN", "OBJECT", "ARRAY"), F.lower(plain))
-        .when(plain == "VOID", "null")
-        .otherwise("number")
-    )
-
-
 def as_map(value: Column) -> Column:
     return F.try_variant_get(value, "$", MAP_OF_VARIANT)
 
@@ -64,38 +54,3 @@ def children(opened: Column) -> Column:
     return F.flatten(
         F.transform(opened, lambda c: F.coalesce(F.map_values(c["members"]), c["items"]))
     )
-
-
-def string_literals(json_text: Column) -> Column:
-    """Every string *value* of a JSON text, at any depth, still escaped.
-
-    Escaped backslashes and quotes become control characters, which JSON text
-    cannot hold raw; what is left splits cleanly at the quotes.  Odd pieces are
-    literals, and a literal followed by a colon is a key.
-    """
-    plain = F.replace(
-        F.replace(json_text, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002")
-    )
-    return bind(
-        F.split(plain, '"', -1),
-        lambda pieces: F.transform(
-            F.filter(
-                F.transform(
-                    pieces,
-                    lambda piece, i: F.struct(
-                        piece.alias("text"),
-                        ((i % 2 == 1) & ~F.get(pieces, i + 1).startswith(":")).alias("is_value"),
-                    ),
-                ),
-                lambda piece: piece["is_value"],
-            ),
-            lambda piece: piece["text"],
-        ),
-    )
-
-
-def literal_units(literal: Column) -> Column:
-    """UTF-16 length of an escaped literal once unescaped."""
-    flat = F.regexp_replace(literal, r"\\u[0-9a-fA-F]{4}", "x")
-    flat = F.regexp_replace(flat, r"\\.", "x")
-    return F.length(F.encode(flat, "UTF-16LE")) / 2

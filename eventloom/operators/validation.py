@@ -14,39 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import variants as V
-from eventloom.functions.scalars import (
-    blank_to_null,
-    contains_any,
-    instant,
-    is_iso,
-    is_uuid,
-    longer_than,
-    utf16_units,
-)
-from eventloom.model import (
-    ENVIRONMENTS,
-    EVENT_FIELDS,
-    EVENT_TYPES,
-    IDENTIFIER_MAX,
-    ISSUE,
-    LOCALE_MAX,
-    NAME_PATTERN,
-    PAGE_FIELD_MAX,
-    PLATFORMS,
-    SCHEMA_VERSION,
-    TIMEZONE_MAX,
-    Limits,
-)
+from eventloom.functions.scalars import blank_to_null, contains_any, instant, utf16_units
+from eventloom.model import EVENT_FIELDS, ISSUE, Limits
+from eventloom.operators import rules
+from eventloom.operators.rules import ACTOR_MEMBERS, CONSENT_FLAGS, PAGE_MEMBERS
 
 EVENT_MEMBERS = (
     "schemaVersion", "eventId", "type", "occurredAt", "name", "source", "actor",
     "context", "consent", "properties", "traits",
 )
 SOURCE_MEMBERS = ("appId", "platform", "env", "appVersion")
-ACTOR_MEMBERS = ("userId", "anonymousId", "sessionId")
 CONTEXT_MEMBERS = ("sessionId", "locale", "timezone", "page", "userAgent", "device")
-PAGE_MEMBERS = ("url", "path", "referrer", "title")
-CONSENT_FLAGS = ("analytics", "experimentation", "personalization")
 CONSENT_MEMBERS = (*CONSENT_FLAGS, "timestamp")
 
 # Re-writing can widen a number such as 1e20 to its digits, at most this many times.
@@ -108,297 +86,6 @@ def read_events(events: Column) -> Column:
     return F.transform(parts, _read_leaves)
 
 
-# ---------------------------------------------------------------- rules
-
-# Inside the checks an issue is one string, ``rule, code, path, message``; the message
-# comes last, so it may hold any character.
-_SEP = "\u0001"
-
-
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
-def _unpack(packed: Column, index: Column, prefix: Column) -> Column:
-    def one(text: Column) -> Column:
-        return V.bind(F.split(text, _SEP, 4), lambda part: F.struct(
-            index.alias("event_index"), part[0].alias("rule"),
-            F.concat(prefix, part[2]).alias("path"), part[3].alias("message"),
-            part[1].alias("code")))
-
-    return F.transform(packed, one)
-
-
-class _Rules:
-    """Collects the checks of one object, in order."""
-
-    def __init__(self) -> None:
-        self.found: list[Column] = []
-
-    @staticmethod
-    def issue(rule: str, path: str, message: Column | str, code: str) -> Column:
-        head = _SEP.join((rule, code, path, ""))
-        return F.lit(head + message) if isinstance(message, str) else F.concat(F.lit(head), message)
-
-    def add(self, column: Column) -> None:
-        self.found.append(column)
-
-    def wrong_type(self, rule: str, path: str, expected: str, kind: Column) -> Column:
-        message = F.when(kind.isNull(), "Required").otherwise(
-            F.concat(F.lit(f"Expected {expected}, received "), V.described(kind))
-        )
-        return self.issue(rule, path, message, "invalid_type")
-
-    def text(
-        self, rule: str, path: str, value: Column, *, required: bool = False,
-        checks: tuple[tuple[Column, str, str], ...] = (),
-    ) -> None:
-        """A string member: type first, then the given (failed, message, code) checks."""
-        kind = value["kind"]
-        bad = (kind != "STRING") if not required else (kind.isNull() | (kind != "STRING"))
-        rule_column = F.when(bad, self.wrong_type(rule, path, "string", kind))
-        for failed, message, code in checks:
-            rule_column = rule_column.when(failed, self.issue(rule, path, message, code))
-        self.add(rule_column)
-
-    def sized(self, rule: str, path: str, value: Column, limit: int) -> None:
-        self.text(rule, path, value, checks=(_too_long(value["text"], limit),))
-
-    def choice(self, rule: str, path: str, value: Column, options: tuple[str, ...]) -> None:
-        kind = value["kind"]
-        listed = " | ".join(f"'{o}'" for o in options)
-        unknown = F.concat(
-            F.lit(f"Invalid enum value. Expected {listed}, received '"), value["text"], F.lit("'")
-        )
-        not_text = F.when(kind.isNull(), "Required").otherwise(
-            F.concat(F.lit(f"Expected {listed}, received "), V.described(kind))
-        )
-        self.add(
-            F.when(kind.isNull() | (kind != "STRING"),
-                   self.issue(rule, path, not_text, "invalid_type"))
-            .when(~value["text"].isin(*options),
-                  self.issue(rule, path, unknown, "invalid_enum_value"))
-        )
-
-    def literal(self, rule: str, path: str, value: Column, wanted: str) -> None:
-        same = (value["kind"] == "STRING") & (value["text"] == wanted)
-        self.add(
-            F.when(
-                ~F.coalesce(same, F.lit(False)),
-                self.issue(rule, path, f'Invalid literal value, expected "{wanted}"',
-                           "invalid_literal"),
-            )
-        )
-
-    def object(self, rule: str, path: str, opened: Column, value: Column,
-               required: bool = False) -> None:
-        bad = opened.isNull() if required else (opened.isNull() & value.isNotNull())
-        self.add(F.when(bad, self.wrong_type(rule, path, "object", V.kind_of(value))))
-
-    def column(self) -> Column:
-        return F.array_compact(F.array(*self.found))
-
-
-def _too_long(text: Column, limit: int) -> tuple[Column, str, str]:
-    return (
-        longer_than(text, limit),
-        f"String must contain at most {limit} character(s)",
-        "too_big",
-    )
-
-
-def _not_iso(text: Column) -> tuple[Column, str, str]:
-    return ~is_iso(text), "Invalid datetime", "invalid_string"
-
-
-def _event_issues(e: Column, index: Column, limits: Limits) -> Column:
-    """Issues of one event; an unknown type hides all other checks."""
-    head = _Rules()
-    not_object = head.wrong_type("event_type", "", "object", V.kind_of(e["raw"]))
-    listed = " | ".join(f"'{t}'" for t in EVENT_TYPES)
-    unknown_type = head.issue(
-        "event_type", ".type", f"Invalid discriminator value. Expected {listed}",
-        "invalid_union_discriminator",
-    )
-    known_type = F.coalesce(
-        (e["type"]["kind"] == "STRING") & e["type"]["text"].isin(*EVENT_TYPES), F.lit(False)
-    )
-    packed = (
-        F.when(e["m"].isNull(), F.array(not_object))
-        .when(~known_type, F.array(unknown_type))
-        .otherwise(_member_issues(e, limits))
-    )
-    return _unpack(packed, index, F.concat(F.lit("events."), index.cast("string")))
-
-
-def _member_issues(e: Column, limits: Limits) -> Column:
-    r = _Rules()
-    m = e["m"]
-
-    r.literal("schema_version", ".schemaVersion", e["schemaVersion"], SCHEMA_VERSION)
-    r.text("event_id", ".eventId", e["eventId"], required=True,
-           checks=((~is_uuid(e["eventId"]["text"]), "Invalid uuid", "invalid_string"),))
-    r.text("occurred_at", ".occurredAt", e["occurredAt"], required=True,
-           checks=(_not_iso(e["occurredAt"]["text"]),))
-
-    source = e["source"]
-    r.object("source", ".source", source, m["source"], required=True)
-    app = _Rules()
-    app.text("source", ".source.appId", source["appId"], required=True, checks=(
-        (source["appId"]["text"] == "", "String must contain at least 1 character(s)",
-         "too_small"),
-        _too_long(source["appId"]["text"], IDENTIFIER_MAX),
-    ))
-    app.choice("source", ".source.platform", source["platform"], PLATFORMS)
-    app.choice("source", ".source.env", source["env"], ENVIRONMENTS)
-    app.sized("source", ".source.appVersion", source["appVersion"], IDENTIFIER_MAX)
-
-    actor = e["actor"]
-    who = _Rules()
-    for name in ACTOR_MEMBERS:
-        who.sized("actor", f".actor.{name}", actor[name], IDENTIFIER_MAX)
-    readable = F.lit(True)
-    for name in ACTOR_MEMBERS:
-        readable = readable & F.coalesce(actor[name]["kind"] == "STRING", F.lit(True))
-    somebody = F.coalesce(
-        blank_to_null(actor["userId"]["text"]), blank_to_null(actor["anonymousId"]["text"])
-    )
-    who.add(F.when(
-        readable & somebody.isNull(),
-        r.issue("actor", ".actor", "At least one of userId or anonymousId must be present",
-                "custom"),
-    ))
-
-    context = e["context"]
-    where = _Rules()
-    where.sized("context", ".context.sessionId", context["sessionId"], IDENTIFIER_MAX)
-    where.sized("context", ".context.locale", context["locale"], LOCALE_MAX)
-    where.sized("context", ".context.timezone", context["timezone"], TIMEZONE_MAX)
-    where.object("context", ".context.page", e["page"], e["page_value"])
-    page = _Rules()
-    for name in PAGE_MEMBERS:
-        page.sized("context", f".context.page.{name}", e["page"][name], PAGE_FIELD_MAX)
-    tail = _Rules()
-    tail.sized("context", ".context.userAgent", context["userAgent"], PAGE_FIELD_MAX)
-    tail.object("context", ".context.device", V.as_map(e["device_value"]), e["device_value"])
-
-    consent = e["consent"]
-    agreed = _Rules()
-    for name in CONSENT_FLAGS:
-        kind = consent[name]["kind"]
-        agreed.add(F.when(
-            kind.isNull() | (kind != "BOOLEAN"),
-            r.wrong_type("consent", f".consent.{name}", "boolean", kind),
-        ))
-    agreed.text("consent", ".consent.timestamp", consent["timestamp"], required=True,
-                checks=(_not_iso(consent["timestamp"]["text"]),))
-
-    named = _Rules()
-    named.text("event_name", ".name", e["name"], required=True, checks=((
-        ~e["name"]["text"].rlike(NAME_PATTERN),
-        "Event name must be lowercase snake_case with optional dot namespaces",
-        "invalid_string",
-    ),))
-
-    none = _none()
-    is_identify = e["type"]["text"] == "identify"
-    return F.concat(
-        r.column(),
-        F.when(source.isNotNull(), app.column()).otherwise(none),
-        F.when(actor.isNotNull(), who.column()).otherwise(
-            F.array(r.wrong_type("actor", ".actor", "object", V.kind_of(m["actor"])))
-        ),
-        F.when(context.isNotNull(), F.concat(
-            where.column(),
-            F.when(e["page"].isNotNull(), page.column()).otherwise(none),
-            tail.column(),
-        )).when(m["context"].isNotNull(), F.array(
-            r.wrong_type("context", ".context", "object", V.kind_of(m["context"]))
-        )).otherwise(none),
-        F.when(consent.isNotNull(), agreed.column()).when(
-            m["consent"].isNotNull(),
-            F.array(r.wrong_type("consent", ".consent", "object", V.kind_of(m["consent"]))),
-        ).otherwise(none),
-        F.when(is_identify, _open_part_issues(r, e["traits"], m["traits"], ".traits", limits))
-        .otherwise(F.concat(
-            named.column(),
-            _open_part_issues(r, e["properties"], m["properties"], ".properties", limits),
-        )),
-    )
-
-
-def _open_part_issues(
-    r: _Rules, members: Column, value: Column, path: str, limits: Limits
-) -> Column:
-    """Checks of a free-form object: keys, sizes and depth at every level the depth
-    limit admits, string lengths at any depth."""
-    none = _none()
-    label = path[1:].capitalize()
-
-    def rule(name: str) -> str:
-        return "traits" if path == ".traits" else name
-
-    def shape_issue(name: str) -> Column:
-        return r.issue(rule(name), path,
-                       f"{label} must not exceed depth of {limits.max_depth}", "custom")
-
-    def check(levels: list[Column], k: int) -> Column:
-        """Verdict on the containers of level ``k`` and below it."""
-        here = levels[-1]
-        bad_key = F.exists(here, lambda c: F.exists(
-            F.map_keys(c["members"]), lambda key: ~key.rlike(NAME_PATTERN)))
-        many_keys = F.exists(here, lambda c: F.size(F.map_keys(c["members"])) > limits.max_keys)
-        long_array = F.exists(here, lambda c: F.size(c["items"]) > limits.max_array)
-        verdict = (
-            F.when(many_keys, shape_issue("keys_per_level"))
-            .when(bad_key, shape_issue("property_key"))
-            .when(long_array, shape_issue("array_length"))
-        )
-        below = V.children(here)
-        if k == limits.max_depth:
-            return verdict.when(F.size(below) > 0, shape_issue("property_depth"))
-        return verdict.otherwise(V.bind(
-            V.containers(below),
-            lambda opened: F.when(F.size(opened) > 0, check([*levels, opened], k + 1)),
-        ))
-
-    root = F.array(F.struct(
-        members.alias("members"), F.lit(None).cast(V.ARRAY_OF_VARIANT).alias("items")
-    ))
-    shape = V.bind(root, lambda level0: check([level0], 0))
-    text = F.to_json(value)
-    long_text = (F.octet_length(text) > limits.max_string) & F.exists(
-        V.string_literals(text), lambda s: V.literal_units(s) > limits.max_string
-    )
-    long_issue = r.issue(rule("string_length"), path,
-                         f"String values must not exceed {limits.max_string} characters", "custom")
-    return (
-        F.when(value.isNull(), none)
-        .when(members.isNull(),
-              F.array(r.wrong_type(rule("properties"), path, "object", V.kind_of(value))))
-        .otherwise(F.array_compact(F.array(shape, F.when(long_text, long_issue))))
-    )
-
-
-def _envelope_issues(limits: Limits) -> Column:
-    r = _Rules()
-    version, sent = F.col("__version"), F.col("__sent")
-    r.literal("schema_version", "schemaVersion", version, SCHEMA_VERSION)
-    r.text("sent_at", "sentAt", sent, checks=(_not_iso(sent["text"]),))
-    count = F.size("events")
-    kind = V.kind_of(F.col("events_value"))
-    r.add(
-        F.when(F.col("events").isNull(), r.wrong_type("batch_size", "events", "array", kind))
-        .when(count < limits.min_events, r.issue(
-            "batch_size", "events",
-            f"Batch must contain at least {limits.min_events} event", "too_small"))
-        .when(count > limits.max_events, r.issue(
-            "batch_size", "events",
-            f"Batch must not exceed {limits.max_events} events per request", "too_big"))
-    )
-    return _unpack(r.column(), F.lit(None).cast("int"), F.lit(""))
-
-
 # Codes whose failure stops the checks of the object around them.
 _STOPPING_CODES = (
     "invalid_type", "invalid_literal", "invalid_enum_value", "invalid_union_discriminator",
@@ -474,11 +161,11 @@ class _Checks:
 def _checks(limits: Limits, application: str) -> _Checks:
     """The check expressions, built once per limits and Spark application: a stream
     then does not rebuild them for each micro-batch."""
-    per_event = F.flatten(F.transform("__read", lambda e, i: _event_issues(e, i, limits)))
     no_issue = F.array().cast(f"array<{ISSUE.simpleString()}>")
+    per_event = F.coalesce(F.expr(rules.event_issues(limits)), no_issue)
     return _Checks(
         read=read_events(F.col("events")),
-        issues=F.concat(_envelope_issues(limits), F.coalesce(per_event, no_issue)),
+        issues=F.concat(F.expr(rules.envelope_issues(limits)), per_event),
         payload=_payload_units(),
         parsed=F.transform("__read", parsed_event),
     )
@@ -507,13 +194,11 @@ def validate_batches(
         & ~stopped
         & (checks.payload > limits.max_payload)
     )
-    size_issue = _Rules.issue(
-        "payload_size", "", f"Payload size must not exceed {limits.max_payload} bytes", "custom")
-    oversized = F.when(oversize, F.array(size_issue)).otherwise(_none())
-    return checked.withColumns({
-        "issues": F.concat("__issues", _unpack(oversized, F.lit(None).cast("int"), F.lit(""))),
+    size_issue = F.expr(rules.payload_issue(limits, "__oversize"))
+    return checked.withColumn("__oversize", oversize).withColumns({
+        "issues": F.concat("__issues", size_issue),
         "parsed": checks.parsed,
-    }).drop("__version", "__sent", "__read", "__issues")
+    }).drop("__version", "__sent", "__read", "__issues", "__oversize")
 
 
 def parsed_event(e: Column) -> Column:
