@@ -136,10 +136,6 @@ def literal(rule: str, path: str, value: str, wanted: str) -> str:
         rule, path, f'Invalid literal value, expected "{wanted}"', "invalid_literal")))
 
 
-def not_object(rule: str, path: str, value: str) -> str:
-    return wrong_type(rule, path, "object", f"schema_of_variant({value})")
-
-
 # ---------------------------------------------------------------- the event
 
 def event_issues(limits: Limits) -> str:
@@ -148,7 +144,7 @@ def event_issues(limits: Limits) -> str:
     allowed = ", ".join(quote(t) for t in EVENT_TYPES)
     known = f"coalesce(e.`type`.kind = 'STRING' AND e.`type`.text IN ({allowed}), FALSE)"
     packed = cases(
-        ("e.m IS NULL", f"array({not_object('event_type', '', 'e.raw')})"),
+        ("NOT e.is_object", f"array({wrong_type('event_type', '', 'object', 'e.raw_kind')})"),
         (f"NOT {known}", f"""array({issue(
             "event_type", ".type", f"Invalid discriminator value. Expected {listed}",
             "invalid_union_discriminator")})"""),
@@ -185,19 +181,18 @@ def _member_issues(limits: Limits) -> str:
             "actor", ".actor", "At least one of userId or anonymousId must be present",
             "custom"))),
     ]
-    device = "try_variant_get(e.device_value, '$', 'map<string,variant>')"
     context = [
         sized("context", ".context.sessionId", "e.context.sessionId", IDENTIFIER_MAX),
         sized("context", ".context.locale", "e.context.locale", LOCALE_MAX),
         sized("context", ".context.timezone", "e.context.timezone", TIMEZONE_MAX),
-        cases(("e.page IS NULL AND e.page_value IS NOT NULL",
-               not_object("context", ".context.page", "e.page_value"))),
+        cases(("e.page_kind IS NOT NULL",
+               wrong_type("context", ".context.page", "object", "e.page_kind"))),
         *[cases(("e.page IS NOT NULL", sized(
             "context", f".context.page.{n}", f"e.page.{n}", PAGE_FIELD_MAX)))
           for n in PAGE_MEMBERS],
         sized("context", ".context.userAgent", "e.context.userAgent", PAGE_FIELD_MAX),
-        cases((f"e.device_value IS NOT NULL AND {device} IS NULL",
-               not_object("context", ".context.device", "e.device_value"))),
+        cases(("e.device_kind IS NOT NULL",
+               wrong_type("context", ".context.device", "object", "e.device_kind"))),
     ]
     consent = [
         *[cases((f"(e.consent.{n}.kind IS NULL OR e.consent.{n}.kind != 'BOOLEAN')", wrong_type(
@@ -213,10 +208,9 @@ def _member_issues(limits: Limits) -> str:
         "invalid_string"), required=True)
 
     def part(label: str, checks: list[str], required: bool) -> str:
-        wrong = f"array({not_object(label, f'.{label}', f'e.m.{label}')})"
-        missing = wrong if required else NONE
-        return cases((f"e.{label} IS NOT NULL", compact(checks)),
-                     (f"e.m.{label} IS NOT NULL", wrong), other=missing)
+        wrong = f"array({wrong_type(label, f'.{label}', 'object', f'e.{label}_kind')})"
+        absent = [] if required else [(f"e.{label}_kind IS NULL", NONE)]
+        return cases((f"e.{label} IS NOT NULL", compact(checks)), *absent, other=wrong)
 
     body = cases(
         ("e.`type`.text = 'identify'", _open_part_issues("traits", limits)),
@@ -269,18 +263,19 @@ def _open_part_issues(part: str, limits: Limits) -> str:
                      cases((f"size(level{k + 1}) > 0", check(k + 1))))
         return cases(*verdicts, other=below)
 
-    root = (f"array(named_struct('members', e.{part},"
-            " 'items', CAST(NULL AS ARRAY<VARIANT>)))")
+    value = f"e.{part}_value"
+    root = "array(named_struct('members', root, 'items', CAST(NULL AS ARRAY<VARIANT>)))"
     over = f"{_literal_units('s')} > {limits.max_string}"
-    long_text = bind(f"to_json(e.m.{part})", "json", cases((
+    long_text = bind(f"to_json({value})", "json", cases((
         f"octet_length(json) > {limits.max_string} AND"
         f" exists({_string_literals('json')}, s -> {over})",
         issue(rule("string_length"), path,
               f"String values must not exceed {limits.max_string} characters", "custom"))))
-    return cases(
-        (f"e.m.{part} IS NULL", NONE),
-        (f"e.{part} IS NULL", f"array({not_object(rule('properties'), path, f'e.m.{part}')})"),
-        other=compact([bind(root, "level0", check(0)), long_text]))
+    wrong = wrong_type(rule("properties"), path, "object", f"schema_of_variant({value})")
+    opened = bind(f"try_variant_get({value}, '$', 'map<string,variant>')", "root", cases(
+        ("root IS NULL", f"array({wrong})"),
+        other=compact([bind(root, "level0", check(0)), long_text])))
+    return cases((f"{value} IS NULL", NONE), other=opened)
 
 
 def _string_literals(json: str) -> str:
@@ -310,10 +305,9 @@ def _literal_units(literal_text: str) -> str:
 # ---------------------------------------------------------------- the envelope
 
 def envelope_issues(limits: Limits) -> str:
-    count = "size(events)"
+    count = "event_count"
     sizes = cases(
-        ("events IS NULL",
-         wrong_type("batch_size", "events", "array", "schema_of_variant(events_value)")),
+        ("NOT __listed", wrong_type("batch_size", "events", "array", "__list_kind")),
         (f"{count} < {limits.min_events}", issue(
             "batch_size", "events",
             f"Batch must contain at least {limits.min_events} event", "too_small")),

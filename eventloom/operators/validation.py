@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import variants as V
 from eventloom.functions.scalars import blank_to_null, contains_any, instant, utf16_units
-from eventloom.model import EVENT_FIELDS, ISSUE, Limits
+from eventloom.model import CONSENT, EVENT_FIELDS, ISSUE, Limits
 from eventloom.operators import rules
 from eventloom.operators.rules import ACTOR_MEMBERS, CONSENT_FLAGS, PAGE_MEMBERS
 
@@ -42,15 +42,14 @@ def _open_event(event: Column) -> Column:
 
 def _open_parts(e: Column) -> Column:
     m = e["m"]
+    context = V.fields_of(m["context"], CONTEXT_MEMBERS)
     return F.struct(
         e["raw"].alias("raw"),
         m.alias("m"),
         V.fields_of(m["source"], SOURCE_MEMBERS).alias("source"),
         V.fields_of(m["actor"], ACTOR_MEMBERS).alias("actor"),
-        V.fields_of(m["context"], CONTEXT_MEMBERS).alias("context"),
+        context.alias("context"),
         V.fields_of(m["consent"], CONSENT_MEMBERS).alias("consent"),
-        V.as_map(m["properties"]).alias("properties"),
-        V.as_map(m["traits"]).alias("traits"),
     )
 
 
@@ -60,22 +59,39 @@ def _leaves(part: Column, names: tuple[str, ...]) -> Column:
     )
 
 
+def _kind_unless(opened: Column, value: Column) -> Column:
+    """The kind of a value that should be an object and is not."""
+    return F.when(opened.isNull(), V.kind_of(value))
+
+
 def _read_leaves(e: Column) -> Column:
+    """Every checked value with its kind.
+
+    A parsed value drags the key dictionary of the whole body along, so only the
+    free-form parts are kept as such.
+    """
     m, context = e["m"], e["context"]
     page = V.fields_of(context["page"], PAGE_MEMBERS)
+    typed_consent = F.try_variant_get(m["consent"], "$", CONSENT.simpleString())
     return F.struct(
-        e["raw"].alias("raw"),
-        m.alias("m"),
+        m.isNotNull().alias("is_object"),
+        _kind_unless(m, e["raw"]).alias("raw_kind"),
         *[V.leaf(m[n]).alias(n) for n in ("schemaVersion", "eventId", "type", "occurredAt", "name")],
         _leaves(e["source"], SOURCE_MEMBERS).alias("source"),
         _leaves(e["actor"], ACTOR_MEMBERS).alias("actor"),
         _leaves(context, ("sessionId", "locale", "timezone", "userAgent")).alias("context"),
         V.bind(page, lambda p: _leaves(p, PAGE_MEMBERS)).alias("page"),
-        context["page"].alias("page_value"),
-        context["device"].alias("device_value"),
         _leaves(e["consent"], CONSENT_MEMBERS).alias("consent"),
-        e["properties"].alias("properties"),
-        e["traits"].alias("traits"),
+        *[_kind_unless(e[n], m[n]).alias(f"{n}_kind")
+          for n in ("source", "actor", "context", "consent")],
+        F.when(context["page"].isNotNull(), _kind_unless(page, context["page"]))
+        .alias("page_kind"),
+        F.when(context["device"].isNotNull(),
+               _kind_unless(V.as_map(context["device"]), context["device"])).alias("device_kind"),
+        typed_consent.alias("typed_consent"),
+        m["context"].alias("context_value"),
+        m["properties"].alias("properties_value"),
+        m["traits"].alias("traits_value"),
     )
 
 
@@ -107,24 +123,20 @@ def _payload_units() -> Column:
 
 
 def _stripped_members(e: Column) -> list[Column]:
-    m = e["m"]
     identify = e["type"]["text"] == "identify"
 
     def texts(part: str, names: tuple[str, ...]) -> Column:
         return F.struct(*[e[part][n]["text"].alias(n) for n in names]).alias(part)
 
     return [
-        m["schemaVersion"].alias("schemaVersion"),
-        m["eventId"].alias("eventId"),
-        m["type"].alias("type"),
-        m["occurredAt"].alias("occurredAt"),
-        F.when(~identify, m["name"]).alias("name"),
+        *[e[n]["text"].alias(n) for n in ("schemaVersion", "eventId", "type", "occurredAt")],
+        F.when(~identify, e["name"]["text"]).alias("name"),
         texts("source", SOURCE_MEMBERS),
         texts("actor", ACTOR_MEMBERS),
-        stripped_context(m["context"]).alias("context"),
-        V.fields_of(m["consent"], CONSENT_MEMBERS).alias("consent"),
-        F.when(~identify, m["properties"]).alias("properties"),
-        F.when(identify, m["traits"]).alias("traits"),
+        stripped_context(e["context_value"]).alias("context"),
+        e["typed_consent"].alias("consent"),
+        F.when(~identify, e["properties_value"]).alias("properties"),
+        F.when(identify, e["traits_value"]).alias("traits"),
     ]
 
 
@@ -174,7 +186,8 @@ def _checks(limits: Limits, application: str) -> _Checks:
 def validate_batches(
     df: DataFrame, limits: Limits | None = None, body: str = "body"
 ) -> DataFrame:
-    """Adds ``issues`` and ``parsed`` to opened envelopes (see ``open_envelopes``).
+    """Adds ``issues``, ``parsed`` and ``event_count`` to opened envelopes (see
+    ``open_envelopes``).
 
     ``issues`` lists every broken rule; ``parsed`` holds the typed, normalised
     events and is only meaningful for a batch without issues.  ``body`` names the
@@ -186,6 +199,9 @@ def validate_batches(
         "__version": V.leaf(F.col("schema_version")),
         "__sent": V.leaf(F.col("sent_at")),
         "__read": checks.read,
+        "event_count": F.coalesce(F.size("events"), F.lit(0)),
+        "__list_kind": F.when(F.col("events").isNull(), V.kind_of(F.col("events_value"))),
+        "__listed": F.col("events").isNotNull(),
     })
     checked = read.withColumn("__issues", checks.issues)
     stopped = F.exists("__issues", lambda i: i["code"].isin(*_STOPPING_CODES))
@@ -198,12 +214,11 @@ def validate_batches(
     return checked.withColumn("__oversize", oversize).withColumns({
         "issues": F.concat("__issues", size_issue),
         "parsed": checks.parsed,
-    }).drop("__version", "__sent", "__read", "__issues", "__oversize")
+    }).drop("__version", "__sent", "__read", "__issues", "__oversize", "__list_kind", "__listed")
 
 
 def parsed_event(e: Column) -> Column:
     """The typed event: unknown keys dropped, session id in its canonical place."""
-    m = e["m"]
     kind = e["type"]["text"]
     actor_session = e["actor"]["sessionId"]["text"]
     context_session = e["context"]["sessionId"]["text"]
@@ -224,15 +239,12 @@ def parsed_event(e: Column) -> Column:
         "anonymous_id": e["actor"]["anonymousId"]["text"],
         "actor_session_id": F.when(~moved, actor_session),
         "session_id": F.when(moved, actor_session).otherwise(context_session),
-        "context": F.when(moved, F.to_json(stripped_context(m["context"], actor_session)))
-        .when(e["page"].isNotNull(), F.to_json(stripped_context(m["context"])))
-        .otherwise(F.to_json(m["context"])),
-        "consent": F.try_variant_get(
-            m["consent"], "$",
-            "struct<analytics: boolean, experimentation: boolean,"
-            " personalization: boolean, timestamp: string>"),
-        "properties": F.when(~identify, F.to_json(m["properties"])),
-        "traits": F.when(identify, F.to_json(m["traits"])),
+        "context": F.when(moved, F.to_json(stripped_context(e["context_value"], actor_session)))
+        .when(e["page"].isNotNull(), F.to_json(stripped_context(e["context_value"])))
+        .otherwise(F.to_json(e["context_value"])),
+        "consent": e["typed_consent"],
+        "properties": F.when(~identify, F.to_json(e["properties_value"])),
+        "traits": F.when(identify, F.to_json(e["traits_value"])),
     }
     return F.struct(*[columns[f.name].cast(f.dataType).alias(f.name) for f in EVENT_FIELDS])
 
@@ -260,15 +272,13 @@ def sanitize_messages(df: DataFrame, message: str = "message") -> DataFrame:
     return df.withColumn(message, F.when(hidden, HIDDEN_MESSAGE).otherwise(F.col(message)))
 
 
-def gate_batches(validated: DataFrame, event_count: Column | None = None) -> DataFrame:
+def gate_batches(validated: DataFrame) -> DataFrame:
     """Verdict per batch: one bad event rejects the whole batch."""
     bad = F.size("issues") > 0
-    if event_count is None:
-        event_count = F.coalesce(F.size("events"), F.lit(0))
     return validated.select(
         "batch_id",
         (~bad).alias("accepted"),
-        F.when(bad, event_count).otherwise(0).alias("failed"),
+        F.when(bad, F.col("event_count")).otherwise(0).alias("failed"),
         F.when(bad, "batch").alias("error_event_id"),
         F.when(bad, F.concat(F.lit("Validation failed: "), first_message(F.col("issues"))))
         .alias("error"),
