@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import materialise
+
 DUPLICATE_REASON = "Duplicate event (already processed)"
 BROADCAST_ROWS = 200_000
 FIRST_COPY = ("received_at", "batch_id", "event_index")
@@ -58,6 +60,15 @@ def dedup_within(events: DataFrame, order: tuple[str, ...] = FIRST_COPY) -> Data
     return first_per_key(events, ("event_id",), [F.col(c) for c in order])
 
 
+def once_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``first_per_key`` for wide rows that hardly ever repeat: keys are counted first,
+    and only rows of repeated keys are ranked."""
+    repeated = df.groupBy(key).agg(F.count("*").alias("__copies")).where("__copies > 1")
+    repeated = broadcast_if_small(materialise(repeated.select(key), "repeats"))
+    single = df.join(repeated, key, "left_anti")
+    return single.unionByName(first_per_key(df.join(repeated, key, "left_semi"), (key,), order))
+
+
 def first_per_key(df: DataFrame, key: tuple[str, ...], order: list[Column]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
@@ -81,6 +92,9 @@ def classify(events: DataFrame, store: DataFrame, same_day: bool = False) -> Dat
 
     ``stored`` for the first copy of a new event, ``repeat`` for further copies in
     the same batch, ``duplicate`` for events of the store or of an earlier batch.
+
+    Only ids are shuffled to find repeated and known ones.  While these are few they
+    are broadcast, and the events themselves stay where they are.
     """
     first = copies_lookup(events)
     lookup = (
@@ -92,6 +106,7 @@ def classify(events: DataFrame, store: DataFrame, same_day: bool = False) -> Dat
         .groupBy("event_id")
         .agg(F.max("first").alias("first"), F.max("known").alias("known"))
     )
+    lookup = broadcast_if_small(materialise(lookup, "repeats"))
     other_batch = F.col("first.batch_id") != F.col("batch_id")
     other_place = F.col("first.event_index") != F.col("event_index")
     fate = (

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from eventloom.functions.scalars import epoch_millis, instant
 from eventloom.functions.variants import fields_of
 from eventloom.model import JSON_TIME, POINTER_SCHEMA, RAW_SCHEMA
-from eventloom.operators.dedup import broadcast_if_small, first_per_key
+from eventloom.operators.dedup import broadcast_if_small, once_per_key
 from eventloom.operators.parsing import explode_events, open_envelopes, parse_bodies
+from eventloom.session import materialise
 from eventloom.sources import paths
 
 KEY_PREFIX = "raw-events/"
@@ -55,12 +56,13 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -> None:
     """Adds batches whose ``batch_id`` is not there yet.
 
-    Only days that arrive now are searched for known ids.  With ``commit_id`` the
+    Only days that arrive now are searched for known ids.  Bodies are not shuffled to
+    find repeats, only ids.  With ``commit_id`` the
     batches land in a folder of their own, which a retry replaces as a whole and
     does not search.
     """
     spark = raw.sparkSession
-    new = first_per_key(raw, ("batch_id",), [F.col("received_at")])
+    new = once_per_key(raw, "batch_id", [F.col("received_at")])
     if paths.exists(spark, path):
         here = read_raw(spark, path)
         if commit_id is not None:
@@ -68,7 +70,9 @@ def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -
         days = broadcast_if_small(raw.select(*RAW_PARTITIONS[1:]).distinct())
         known = here.select("batch_id", *RAW_PARTITIONS[1:]).join(
             days, list(RAW_PARTITIONS[1:]), "left_semi")
-        new = new.join(known.select("batch_id"), "batch_id", "left_anti")
+        known = known.join(broadcast_if_small(raw.select("batch_id")), "batch_id", "left_semi")
+        known = broadcast_if_small(materialise(known.select("batch_id").distinct(), "known"))
+        new = new.join(known, "batch_id", "left_anti")
     target, mode = (path, "append") if commit_id is None else (
         f"{path}/commit_id={commit_id}", "overwrite")
     (
