@@ -308,9 +308,9 @@ def _private_documents(spark, sf_dir) -> DataFrame:
 
 def _redacted_fields(df: DataFrame) -> DataFrame:
     def get(path: str) -> Column:
-        return F.get_json_object("doc", path)
+        return F.try_variant_get("value", path, "string")
 
-    return df.select(
+    return df.withColumn("value", F.try_parse_json("doc")).select(
         "doc_id", F.md5(get("$.note")).alias("note_md5"), get("$.userEmail").alias("user_email"),
         get("$.meta.API_KEY").alias("api_key"), get("$.meta.lang").alias("lang"),
         get("$.meta.inner.origin").alias("origin"),
