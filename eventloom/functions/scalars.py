@@ -43,18 +43,10 @@ def iso_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def iso_millis(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-
-
 def epoch_millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def epoch_micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
 def epoch_seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
@@ -68,10 +60,5 @@ def utf16_units(text: Column) -> Column:
     return (F.length(F.encode(text, "UTF-16LE")) / 2).cast("int")
 
 
-def longer_than(text: Column, limit: int) -> Column:
-    """UTF-8 never takes fewer bytes than UTF-16 units, so short text stops early."""
-    return (F.octet_length(text) > limit) & (utf16_units(text) > limit)
-
-
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))

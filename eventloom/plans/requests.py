@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from eventloom.functions.scalars import instant, is_iso
 from eventloom.model import EVENT_TYPES, Limits
 
-RAW_COLUMNS = (
-    "app_id", "from", "to", "types", "names", "user_id", "anonymous_id", "session_id",
-    "limit", "cursor", "sort",
-)
 MICROS_PER_DAY = 86_400_000_000
 
 

@@ -56,10 +56,9 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -> None:
     """Adds batches whose ``batch_id`` is not there yet.
 
-    Only days that arrive now are searched for known ids.  Bodies are not shuffled to
-    find repeats, only ids.  With ``commit_id`` the
-    batches land in a folder of their own, which a retry replaces as a whole and
-    does not search.
+    Only days that arrive now are searched for known ids, and only ids are shuffled
+    for it, not bodies.  With ``commit_id`` the batches land in a folder of their own,
+    which a retry replaces as a whole and does not search.
     """
     spark = raw.sparkSession
     new = once_per_key(raw, "batch_id", [F.col("received_at")])
