@@ -6,52 +6,76 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontam, html, languages, licenses, perplexity, pieces, secrets
+from eventloom.llm import (
+    decontam,
+    html,
+    languages,
+    licenses,
+    lines,
+    neardup,
+    perplexity,
+    pieces,
+    secrets,
+    urls,
+)
 from eventloom.session import prepare
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(_table(spark, sf_dir, "documents"))
+    return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.report(_table(spark, sf_dir, "pages"))
+    return html.report(table(spark, sf_dir, "pages"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.report(_table(spark, sf_dir, "documents"), _vocabulary())
+    return pieces.report(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.report(_table(spark, sf_dir, "documents"))
+    return languages.report(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.report(_table(spark, sf_dir, "documents"))
+    return licenses.report(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.report(_table(spark, sf_dir, "documents"))
+    return perplexity.report(table(spark, sf_dir, "documents"))
+
+
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secrets, op2_html_extraction, op4_sentencepiece, op5_language_id,
-        op6_decontamination, op8_licenses, op9_quality_rules)
+        op1_secrets, op2_html_extraction, op3_near_duplicates, op4_sentencepiece,
+        op5_language_id, op6_decontamination, op7_url_filter, op8_licenses, op9_quality_rules,
+        op10_fuzzy_lines)
 }
 
 OP6 = r"""
