@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.text import Hasher, runs, slices, split_words, text_key
+from eventloom.llm.text import Hasher, map_texts, runs, slices, split_words, text_key
 from eventloom.session import materialise
 
 WINDOW = 10
@@ -109,8 +109,7 @@ def build_index(docs: DataFrame, key: Column, wanted: np.ndarray | None = None)
     narrow = docs.select("text", key.alias("key"))
     kind = narrow.schema["key"].dataType
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    index = narrow.mapInArrow(
-        _segments(wanted, arrow),
+    index = map_texts(narrow, _segments(wanted, arrow),
         f"kind int, segment long, term long, n long, positions binary, key {kind.simpleString()}")
     return materialise(index, "postings")
 

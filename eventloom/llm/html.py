@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.text import map_texts
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
@@ -314,12 +316,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """All columns of ``pages`` as ``page``, with the main text and its length in code points."""
     packed = pages.select(F.struct("*").alias("page"), "html")
-    return packed.mapInArrow(
-        _extract, f"page {packed.schema['page'].dataType.simpleString()}, text string, n_chars long")
+    return map_texts(packed, _extract, f"page {packed.schema['page'].dataType.simpleString()}, text string, n_chars long")
 
 
 def report(pages: DataFrame) -> DataFrame:
     narrow = pages.select(F.struct("page_id", "url").alias("page"), "html")
-    told = narrow.mapInArrow(
-        _extract, f"page {narrow.schema['page'].dataType.simpleString()}, text string, n_chars long")
+    told = map_texts(narrow, _extract, f"page {narrow.schema['page'].dataType.simpleString()}, text string, n_chars long")
     return told.select("page.page_id", "page.url", "text", "n_chars")

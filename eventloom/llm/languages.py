@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.text import FOLD, buffers, slices
+from eventloom.llm.text import FOLD, buffers, map_texts, slices
 
 BITS, ORDER = 16, 3
 PENALTY, STEPS, TOLERANCE = 0.5, 30, 1e-4
@@ -78,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their distributions, from all rows of ``docs`` (text, lang)."""
     known = docs.select("text", "lang").where("text is not null and lang is not null")
-    counts = known.mapInArrow(_count, "lang string, slot long, n long") \
+    counts = map_texts(known, _count, "lang string, slot long, n long") \
         .groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     # One row a language: its slots and counts.
     rows = counts.groupBy("lang").agg(F.collect_list("slot").alias("slots"),
@@ -157,8 +157,7 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: Colu
     """doc (as ``keep`` says), lang_pred, score (its share) and the shares of the chosen set."""
     narrow = docs.select(keep.alias("doc"), "text")
     kind = narrow.schema["doc"].dataType.simpleString()
-    return narrow.mapInArrow(
-        _predict(languages, model),
+    return map_texts(narrow, _predict(languages, model),
         f"doc {kind}, lang_pred string, score double, shares map<string,double>")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.text import Hasher, runs, slices, split_words
+from eventloom.llm.text import Hasher, map_texts, runs, slices, split_words
 
 COVERAGE = 0.8
 
@@ -214,8 +214,7 @@ def scan(docs: DataFrame, keep: Column, templates: dict[str, str] = TEMPLATES,
          coverage: float = COVERAGE) -> DataFrame:
     """doc (as ``keep`` says) and, in order of the text: licenses, coverage, starts, ends."""
     narrow = docs.select(keep.alias("doc"), "text")
-    return narrow.mapInArrow(
-        _scan(templates, coverage),
+    return map_texts(narrow, _scan(templates, coverage),
         f"doc {narrow.schema['doc'].dataType.simpleString()}, licenses array<string>, "
         "coverage array<double>, starts array<long>, ends array<long>")
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from eventloom.llm.graph import link_groups, numbered, stored
-from eventloom.llm.text import Hasher, Words, mix, runs, slices, split_words, windows
+from eventloom.llm.text import Hasher, Words, map_texts, mix, runs, slices, split_words, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
 SLOTS, BAND = 64, 4
@@ -171,7 +171,7 @@ def _verifier(docs: DataFrame, signed: DataFrame):
         text = stored(text.join(ends, "row", "left_semi"), "texts")
         both = likely.join(text.select(F.col("row").alias("a"), F.col("text").alias("x")), "a") \
             .join(text.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
-        return both.mapInArrow(_compare, "a long, b long")
+        return map_texts(both, _compare, "a long, b long")
 
     return verify
 
@@ -183,8 +183,7 @@ def groups(docs: DataFrame) -> DataFrame:
     ``kept``; ``n_links`` counts the verified links of the row's class.
     """
     texts = docs.select("row", F.col("doc.text").alias("text"))
-    signed = stored(texts.mapInArrow(
-        _sign, "row long, h1 long, h2 long, signature binary, bands array<long>"), "signatures")
+    signed = stored(map_texts(texts, _sign, "row long, h1 long, h2 long, signature binary, bands array<long>"), "signatures")
     worded = signed.where("h1 is not null")
     classes = stored(worded.groupBy("h1", "h2").agg(F.min("row").alias("node")), "classes")
     members = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi") \

@@ -37,6 +37,7 @@ from eventloom.llm.text import (
     IS_SOLID,
     Hasher,
     buffers,
+    map_texts,
     mix,
     runs,
     slices,
@@ -128,7 +129,7 @@ def train(docs: DataFrame, order: int = ORDER) -> dict[str, list[tuple]]:
     """Per language, for orders 1 up: (codes, log-probabilities, contexts, log-weights)."""
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text") \
         .where("octet_length(text) > 0")
-    counted = texts.mapInArrow(_count(order), "lang string, code long, n long") \
+    counted = map_texts(texts, _count(order), "lang string, code long, n long") \
         .groupBy("lang", "code").agg(F.sum("n").alias("n"))
     levels = [materialise(counted, "ngrams")]
     for k in range(order - 1, 0, -1):
@@ -247,8 +248,7 @@ def score(docs: DataFrame, keep: Column, order: int = ORDER) -> DataFrame:
     models = train(docs, order)
     narrow = docs.select(keep.alias("doc"), F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
     kind = narrow.schema["doc"].dataType.simpleString()
-    told = narrow.mapInArrow(
-        _score(models, order),
+    told = map_texts(narrow, _score(models, order),
         f"doc {kind}, lang string, n_words long, word_chars long, n_symbols long, "
         "n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double")
     failed = (F.col("n_words") < LEAST_WORDS) | (

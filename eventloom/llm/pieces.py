@@ -34,6 +34,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from eventloom.llm.text import map_texts
+
 SPACE = "▁"
 REMEMBERED, LONGEST, PAIRS = 500_000, 64, 1_000_000
 
@@ -300,8 +302,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
     packed = docs.select(F.struct("*").alias("doc"), "text")
     kind = packed.schema["doc"].dataType.simpleString()
-    return packed.mapInArrow(
-        _encode(model_file, True),
+    return map_texts(packed, _encode(model_file, True),
         f"doc {kind}, n_tokens long, ids array<int>, decoded string")
 
 
@@ -311,7 +312,6 @@ def report(docs: DataFrame, model_file: str) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").alias("doc"), "text")
     kind = narrow.schema["doc"].dataType.simpleString()
-    told = narrow.mapInArrow(
-        _encode(model_file, False),
+    told = map_texts(narrow, _encode(model_file, False),
         f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return told.withColumnRenamed("doc", "doc_id")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many bytes; a longer text is one slice.
 SLICE_BYTES = 1 << 20
+#: Rows that Spark hands over at once.
+BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -30,6 +32,12 @@ def text_key(text: Column) -> Column:
     return F.md5(text)
 
 
+def map_texts(df: DataFrame, task: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over rows with whole texts, in batches of few rows, as texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(task, schema)
+
+
 class Words(NamedTuple):
     """Words of a slice: row in the slice, byte range in ``data``, 64-bit hash."""
     row: np.ndarray
