@@ -71,19 +71,18 @@ def _deeper_than(document: Column, levels: int) -> Column:
     return below(V.containers(F.array(document)), levels)
 
 
-def redact_json(text: Column, any_depth: bool = False) -> Column:
-    """JSON text with hidden members replaced; other text is returned as it is.
+def redact_json(text: Column) -> Column:
+    """JSON text with hidden members replaced, at any depth; other text is returned as it is.
 
-    Documents that no fragment occurs in are not parsed.  Objects nested deeper than
-    the unrolled levels go through a Python pass, which sees only those documents;
-    it is left out unless asked for, as validated parts are never that deep.
+    A document is parsed only if a fragment occurs in it, or an escape that could spell
+    one.  Objects nested deeper than the unrolled levels go through a Python pass, which
+    sees only those documents.
     """
     document = F.try_parse_json(text)
-    suspect = V.bind(F.lower(text), lambda t: contains_any(t, _FRAGMENTS))
+    # Letters can only be written as themselves or as a \u escape.
+    suspect = text.contains("\\u") | V.bind(F.lower(text), lambda t: contains_any(t, _FRAGMENTS))
     shallow = V.bind(V.as_map(document), lambda m: F.when(
         m.isNotNull(), F.to_json(_redact_members(m, UNROLLED_LEVELS))))
-    if not any_depth:
-        return F.when(suspect, F.coalesce(shallow, text)).otherwise(text)
     deep = suspect & F.coalesce(_deeper_than(document, UNROLLED_LEVELS), F.lit(False))
     return (
         F.when(deep, _redact_deep(F.when(deep, text)))
@@ -94,23 +93,22 @@ def redact_json(text: Column, any_depth: bool = False) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _redact_deep(texts: pd.Series) -> pd.Series:
-    def members(obj: dict) -> dict:
-        return {
-            k: REDACTED if any(f in k.lower() for f in _FRAGMENTS) else inner(v)
-            for k, v in obj.items()
-        }
-
-    def inner(value):
-        if isinstance(value, dict):
-            return members(value)
-        if isinstance(value, list):
-            return [members(v) if isinstance(v, dict) else v for v in value]
-        return value
+    """The same for documents of any depth, by a list of open members instead of recursion.
 
-    def one(text):
-        if text is None:
-            return None
-        cleaned = inner(json.loads(text))
-        return json.dumps(cleaned, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    Members come out by name, as parsed JSON writes them everywhere else.
+    """
+    def one(text: str) -> str:
+        document = json.loads(text)
+        opened = [document] if isinstance(document, dict) else []
+        while opened:
+            members = opened.pop()
+            for name, value in members.items():
+                if any(f in name.lower() for f in _FRAGMENTS):
+                    members[name] = REDACTED
+                elif isinstance(value, dict):
+                    opened.append(value)
+                elif isinstance(value, list):
+                    opened += [v for v in value if isinstance(v, dict)]
+        return json.dumps(document, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 
     return texts.map(one, na_action="ignore")

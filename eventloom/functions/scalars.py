@@ -24,6 +24,15 @@ def contains_any(text: Column, fragments: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
+# White space as the wire contract trims it: line ends, tabs, every kind of space, the byte order mark.
+_BLANK = r"[\s\u000B\u2028\u2029\uFEFF\p{Zs}]+"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"\A{_BLANK}|{_BLANK}\z", "")
+
+
 def is_uuid(text: Column) -> Column:
     return text.rlike(UUID_PATTERN)
 

@@ -13,9 +13,10 @@ SCHEMA_VERSION = "1.0.0"
 EVENT_TYPES = ("track", "page", "identify")
 PLATFORMS = ("web", "ios", "android", "server")
 ENVIRONMENTS = ("dev", "staging", "prod", "test")
-NAME_PATTERN = r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*$"
-UUID_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-ISO_PATTERN = r"^\d{4}-\d\d-\d\dT([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?Z$"
+# `\z`, as `$` would let a line end follow.
+NAME_PATTERN = r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*\z"
+UUID_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
+ISO_PATTERN = r"^\d{4}-\d\d-\d\dT([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?Z\z"
 IDENTIFIER_MAX = 255
 LOCALE_MAX = 50
 TIMEZONE_MAX = 100

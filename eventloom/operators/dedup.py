@@ -6,28 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.session import materialise
+from eventloom.sources.id_table import already_known
 
 DUPLICATE_REASON = "Duplicate event (already processed)"
-BROADCAST_ROWS = 200_000
 FIRST_COPY = ("received_at", "batch_id", "event_index")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a side for broadcast only after counting that it stays below the bound;
-    beyond it the join shuffles.  Meant for narrow key tables."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def known_ids(ids: DataFrame, store: DataFrame, same_day: bool = False) -> DataFrame:
     """The given ``event_id`` values that the store already holds, once each.
 
-    Only the id column of the store is read.  A small set of ids is sent to the
-    store's scan, which then is not shuffled.  With ``same_day`` an id counts as known
-    only within its app and day, and only those folders of the store are read: enough
-    where a repeated event carries the same time.
+    ``store`` is an event table, of which only the id column is read, or an id table
+    (``sources.id_table``), of which only the touched parts are.  The distinct ids are
+    written first, so Spark knows their size in bytes when it plans the join.  With
+    ``same_day`` an id counts as known only within its app and day, and only those folders
+    of the store are read: enough where a repeated event carries the same time.
     """
-    on = ["event_id", "app_id", "dt"] if same_day else ["event_id"]
-    wanted = broadcast_if_small(ids.select(*on).distinct())
+    if not same_day:
+        return already_known(ids, store, "event_id")
+    on = ["event_id", "app_id", "dt"]
+    wanted = materialise(ids.select(*on).distinct(), "wanted")
     return store.select(*on).join(wanted, on, "left_semi").select("event_id").distinct()
 
 
@@ -41,14 +38,20 @@ def events_exist(ids: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
+def mark_known(events: DataFrame, store: DataFrame) -> DataFrame:
+    """Adds ``known``: one join over the events, whichever side of the split is wanted."""
+    hits = materialise(known_ids(events, store), "known").withColumn("known", F.lit(True))
+    return events.join(hits, "event_id", "left").withColumn(
+        "known", F.coalesce("known", F.lit(False)))
+
+
 def split_duplicates(events: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events not yet stored, and the skipped rest with the reason."""
-    hits = known_ids(events, store)
-    new = events.join(hits, "event_id", "left_anti")
-    skipped = events.join(hits, "event_id", "left_semi").select(
+    marked = mark_known(events, store)
+    skipped = marked.where("known").select(
         "batch_id", "event_index", "event_id", F.lit(DUPLICATE_REASON).alias("reason")
     )
-    return new, skipped
+    return marked.where("not known").select(*events.columns), skipped
 
 
 def dedup_within(events: DataFrame, order: tuple[str, ...] = FIRST_COPY) -> DataFrame:
@@ -64,7 +67,7 @@ def once_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """``first_per_key`` for wide rows that hardly ever repeat: keys are counted first,
     and only rows of repeated keys are ranked."""
     repeated = df.groupBy(key).agg(F.count("*").alias("__copies")).where("__copies > 1")
-    repeated = broadcast_if_small(materialise(repeated.select(key), "repeats"))
+    repeated = materialise(repeated.select(key), "repeats")
     single = df.join(repeated, key, "left_anti")
     return single.unionByName(first_per_key(df.join(repeated, key, "left_semi"), (key,), order))
 
@@ -93,8 +96,8 @@ def classify(events: DataFrame, store: DataFrame, same_day: bool = False) -> Dat
     ``stored`` for the first copy of a new event, ``repeat`` for further copies in
     the same batch, ``duplicate`` for events of the store or of an earlier batch.
 
-    Only ids are shuffled to find repeated and known ones.  While these are few they
-    are broadcast, and the events themselves stay where they are.
+    Only ids are shuffled to find repeated and known ones.  What is found is written, so
+    Spark sends it to the events while it is small, and these stay where they are.
     """
     first = copies_lookup(events)
     lookup = (
@@ -106,7 +109,7 @@ def classify(events: DataFrame, store: DataFrame, same_day: bool = False) -> Dat
         .groupBy("event_id")
         .agg(F.max("first").alias("first"), F.max("known").alias("known"))
     )
-    lookup = broadcast_if_small(materialise(lookup, "repeats"))
+    lookup = materialise(lookup, "repeats")
     other_batch = F.col("first.batch_id") != F.col("batch_id")
     other_place = F.col("first.event_index") != F.col("event_index")
     fate = (
@@ -123,10 +126,11 @@ def upsert_events(
     store: DataFrame, changes: DataFrame, key: tuple[str, ...] = ("app_id", "occurred_at", "event_id"),
     version: str = "received_at",
 ) -> DataFrame:
-    """The store after the changes: per key the last version wins, and a change wins
-    over the stored row of the same version."""
+    """The store after the changes: a change wins over the stored row, of several changes the
+    last version, and of one version the last by batch and place in it."""
     both = store.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
-    order = [F.col("__new").desc(), F.col(version).desc()]
+    ties = [c for c in ("batch_id", "event_index") if c in both.columns]
+    order = [F.col("__new").desc(), F.col(version).desc(), *[F.col(c).desc() for c in ties]]
     return first_per_key(both, key, order).drop("__new")
 
 
@@ -136,7 +140,7 @@ def upsert_stats(
     """How many keys an upsert creates and how many it replaces, per app."""
     wanted = changes.select(*key).distinct()
     hits = (
-        store.select(*key).join(broadcast_if_small(wanted), list(key), "left_semi").distinct()
+        store.select(*key).join(wanted, list(key), "left_semi").distinct()
         .withColumn("__hit", F.lit(1))
     )
     return wanted.join(hits, list(key), "left").groupBy("app_id").agg(

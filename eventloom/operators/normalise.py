@@ -110,6 +110,6 @@ def ttl_remaining(occurred_at: Column, now: Column, days: int = RETENTION_DAYS)
     return F.greatest(F.lit(0).cast("bigint"), F.floor(left / F.lit(1_000_000)).cast("bigint"))
 
 
-def redact(df: DataFrame, column: str, any_depth: bool = False) -> DataFrame:
-    """Hides members with telling names in a JSON column."""
-    return df.withColumn(column, redact_json(F.col(column), any_depth))
+def redact(df: DataFrame, column: str) -> DataFrame:
+    """Hides members with telling names in a JSON column, however deep they lie."""
+    return df.withColumn(column, redact_json(F.col(column)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.scalars import is_uuid, md5_uuid
+from eventloom.functions.scalars import is_uuid, md5_uuid, strip
 from eventloom.functions.variants import as_array, fields_of
 
 ENVELOPE_FIELDS = ("schemaVersion", "sentAt", "events")
@@ -46,7 +46,7 @@ def explode_events(df: DataFrame, events: str = "events") -> DataFrame:
 
 def request_id(header: Column, fallback: Column | None = None) -> Column:
     """The caller's id if it is a UUID once trimmed, else a new one."""
-    trimmed = F.trim(header)
+    trimmed = strip(header)
     fresh = F.uuid() if fallback is None else fallback
     return F.when(is_uuid(trimmed), trimmed).otherwise(fresh)
 

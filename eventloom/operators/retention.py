@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.model import RETENTION_DAYS, STORE_SCHEMA
 from eventloom.operators.normalise import expires_at
-from eventloom.session import materialise
+from eventloom.session import materialise, run_folder
 from eventloom.sources import paths
 from eventloom.sources.event_store import read_store, write_partitioned
 
@@ -61,18 +61,19 @@ def purge_store(spark: SparkSession, path: str, now: datetime, days: int = RETEN
     """Applies expiry to a store on disk: old day folders go, the boundary day is
     rewritten from a staged copy, younger days are not read."""
     boundary = (now - timedelta(days=days)).date()
-    for commit in paths.children(spark, path):
-        folder = f"{path}/{commit}"
-        edge = read_store(spark, folder).where(F.col("dt") == F.lit(boundary))
-        kept = materialise(purge_expired(edge, now, days), "purge")
-        apps = {row.app_id for row in kept.select("app_id").distinct().toLocalIterator()}
-        write_partitioned(kept.select(*STORE_SCHEMA.fieldNames()), folder, "overwrite", "dynamic")
-        for app in paths.children(spark, folder):
-            emptied = app.removeprefix("app_id=") not in apps
-            for day in paths.children(spark, f"{folder}/{app}"):
-                value = day.removeprefix("dt=")
-                if value < str(boundary) or (value == str(boundary) and emptied):
-                    paths.delete(spark, f"{folder}/{app}/{day}")
+    day = F.col("dt")
+    with run_folder(spark, "purge"):
+        for commit in paths.children(spark, path):
+            folder = f"{path}/{commit}"
+            rows = read_store(spark, folder)
+            kept = materialise(purge_expired(rows.where(day == F.lit(boundary)), now, days), "purge")
+            folders = rows.where(day <= F.lit(boundary)).select(
+                "app_id", "dt", paths.folder_of_row().alias("folder")).distinct()
+            left = kept.select("app_id", "dt").distinct()
+            same = folders["app_id"].eqNullSafe(left["app_id"]) & (folders["dt"] == left["dt"])
+            expired = materialise(folders.join(left, same, "left_anti"), "expired")
+            write_partitioned(kept.select(*STORE_SCHEMA.fieldNames()), folder, "overwrite", "dynamic")
+            paths.delete_folders(expired, folder)
 
 
 def raw_tier(age_days: Column, tiers: Tiers) -> Column:

@@ -5,55 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.dedup import BROADCAST_ROWS, broadcast_if_small
+from eventloom.functions.cursors import decode_cursor
 from eventloom.plans.paging import next_cursor
 from eventloom.session import materialise
 
 # Most selective first; a request goes by the first id it names.
 PATHS = ("session_id", "user_id", "anonymous_id")
 HOUR, SECOND = 3600, 1
-HOT_ROWS = 100_000
+#: Hours with more rows than this, a few pages, are narrowed to seconds.
+HOT_ROWS = 1_000
 
 REQUEST_COLUMNS = (
     "request_id", "app_id", "start", "end", "types", "names", "user_id", "anonymous_id",
-    "session_id", "limit", "sort",
+    "session_id", "limit", "sort", "cursor",
 )
 MEETING = ("app_id", "path", "key", "bucket")
 
 
-def query_many(
-    store: DataFrame, requests: DataFrame, max_broadcast: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def query_many(store: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pages of all requests: matching rows with ``request_id``, ``pos``,
     ``has_more`` and ``next_cursor``.
 
+    A request may carry a ``cursor`` and then goes on behind it; one that cannot be read
+    gives no rows, as ``validate_requests`` reports it.
+
     Requests meet events on app, the id they name and the hour.  Row counts per hour
-    tell which hours a request needs to fill its page, so it is paired with about one
-    page of rows however long its range or hot its key.  Hours with very many rows
-    are narrowed to seconds the same way.
+    tell which hours a request needs to fill its page.  An hour with more rows than a few
+    pages is narrowed to seconds the same way.  So a request that names one id, or none, is
+    paired with a few pages of rows, unless a single second holds more.  One that names
+    several ids is paired with all rows of its first id in its range, as counts by one id do
+    not tell how many rows match both.
     """
-    wanted = _with_path(requests)
+    wanted = materialise(_with_path(requests), "requests")
     facts = wanted.agg(
         F.collect_set("r_path").alias("paths"), F.max("r_limit").alias("limit"),
         F.min("r_start").alias("start"), F.max("r_end").alias("end")).first()
     events = _by_path(store, sorted(facts.paths) or ["app"], facts.start, facts.end)
 
-    hours = _spread(wanted, F.col("r_start"), F.col("r_end"), HOUR)
+    bounds = {"low": _bucket(F.col("r_start"), HOUR), "high": _bucket(F.col("r_end"), HOUR)}
     needed = materialise(
-        _needed(_bucketed(events, HOUR), hours, HOUR, ("r_request_id",), max_broadcast), "hours")
+        _needed(_bucketed(events, HOUR), wanted.withColumns(bounds), HOUR, ("r_request_id",)),
+        "hours")
     calm, hot = needed.where(F.col("rows") <= hot_rows), needed.where(F.col("rows") > hot_rows)
-    pairs = _meet(_bucketed(events, HOUR), calm, max_broadcast)
+    pairs = _meet(_bucketed(events, HOUR), calm)
     if not hot.isEmpty():
-        seconds = hot.withColumnRenamed("bucket", "hour").withColumn(
-            "bucket", F.explode(F.sequence(F.col("hour") * HOUR, F.col("hour") * HOUR + HOUR - 1)))
+        seconds = hot.withColumnRenamed("bucket", "hour").drop("rows").withColumns({
+            "low": F.col("hour") * HOUR, "high": F.col("hour") * HOUR + HOUR - 1})
         in_hot_hours = _bucketed(events, HOUR).join(
-            broadcast_if_small(_renamed(hot).select(*MEETING).distinct(), max_broadcast),
+            materialise(_renamed(hot).select(*MEETING).distinct(), "hot"),
             list(MEETING), "left_semi")
-        fine = _needed(_bucketed(in_hot_hours, SECOND), seconds.drop("rows"), SECOND,
-                       ("r_request_id", "hour"), max_broadcast)
+        fine = _needed(_bucketed(in_hot_hours, SECOND), seconds, SECOND, ("r_request_id", "hour"))
         fine = materialise(fine.drop("hour"), "seconds")
-        pairs = pairs.unionByName(_meet(_bucketed(events, SECOND), fine, max_broadcast))
+        pairs = pairs.unionByName(_meet(_bucketed(events, SECOND), fine))
     return _pages(pairs, facts.limit or 0)
 
 
@@ -63,9 +66,22 @@ def _with_path(requests: DataFrame) -> DataFrame:
         named = F.col(name).isNotNull()
         path = F.when(named, name).otherwise(path)
         key = F.when(named, F.col(name)).otherwise(key)
-    return requests.select(
+    if "cursor" not in requests.columns:
+        requests = requests.withColumn("cursor", F.lit(None).cast("string"))
+    given = F.coalesce(F.col("cursor") != "", F.lit(False))
+    place = decode_cursor(F.col("cursor"))
+    typed = requests.select(
         *[F.col(c).alias(f"r_{c}") for c in REQUEST_COLUMNS],
-        path.alias("r_path"), key.alias("r_key"))
+        path.alias("r_path"), key.alias("r_key"),
+        F.when(given, place).alias("place"), given.alias("given"))
+    typed = typed.where(~F.col("given") | F.col("place.occurred_at").isNotNull()).withColumns({
+        "r_after": F.col("place.occurred_at"), "r_after_id": F.col("place.event_id")})
+    # Nothing before the cursor is needed: the range begins, or ends, where it stands.
+    up, microsecond = F.col("r_sort") == "asc", F.expr("INTERVAL 0.000001 SECOND")
+    return typed.drop("place", "given").withColumns({
+        "r_start": F.when(up, F.greatest("r_start", "r_after")).otherwise(F.col("r_start")),
+        "r_end": F.when(up, F.col("r_end")).otherwise(
+            F.least(F.col("r_end"), F.col("r_after") + microsecond))})
 
 
 def _by_path(store: DataFrame, paths: list[str], start, end) -> DataFrame:
@@ -94,11 +110,6 @@ def _bucketed(events: DataFrame, seconds: int) -> DataFrame:
     return events.withColumn("bucket", _bucket(F.col("occurred_at"), seconds))
 
 
-def _spread(wanted: DataFrame, start: Column, end: Column, seconds: int) -> DataFrame:
-    return wanted.withColumn(
-        "bucket", F.explode(F.sequence(_bucket(start, seconds), _bucket(end, seconds))))
-
-
 def _renamed(spread: DataFrame) -> DataFrame:
     return spread.withColumnsRenamed({"r_app_id": "app_id", "r_path": "path", "r_key": "key"})
 
@@ -118,8 +129,16 @@ def _ids_match() -> Column:
     return where
 
 
+def _behind_cursor() -> Column:
+    ts, at = F.col("occurred_at"), F.col("r_after")
+    ident, last = F.col("event_id"), F.col("r_after_id")
+    return at.isNull() | F.when(
+        F.col("r_sort") == "asc", (ts > at) | ((ts == at) & (ident > last))
+    ).otherwise((ts < at) | ((ts == at) & (ident < last)))
+
+
 def _needed(
-    events: DataFrame, spread: DataFrame, seconds: int, per: tuple[str, ...], max_broadcast: int
+    events: DataFrame, wanted: DataFrame, seconds: int, per: tuple[str, ...]
 ) -> DataFrame:
     """The buckets, in the request's order, until the page is full.
 
@@ -127,17 +146,18 @@ def _needed(
     inside the range count towards the page, and only for requests that name no
     second id, as others may match fewer rows than counted.
     """
-    meeting = list(MEETING)
-    keys = _renamed(spread).select("app_id", "path", "key").distinct()
+    keys = _renamed(wanted).select("app_id", "path", "key").distinct()
     sizes = (
-        events.join(broadcast_if_small(keys, max_broadcast), ["app_id", "path", "key"], "left_semi")
-        .groupBy(*meeting, "type", "name").agg(F.count("*").alias("__rows"))
+        events.join(keys, ["app_id", "path", "key"], "left_semi")
+        .groupBy(*MEETING, "type", "name").agg(F.count("*").alias("__rows"))
     )
-    kept = [c for c in spread.columns if c != "bucket"]
+    # Counts are written: their join with the requests can then split a hot app.
+    sizes = materialise(sizes, "sizes")
+    kept = [c for c in wanted.columns if c not in ("low", "high")]
     found = (
-        sizes.join(spread.withColumnsRenamed({"bucket": "r_bucket"}), [
-            sizes["app_id"] == spread["r_app_id"], sizes["path"] == spread["r_path"],
-            sizes["key"] == spread["r_key"], sizes["bucket"] == F.col("r_bucket")])
+        sizes.join(wanted, (sizes["app_id"] == wanted["r_app_id"])
+                   & (sizes["path"] == wanted["r_path"]) & (sizes["key"] == wanted["r_key"])
+                   & sizes["bucket"].between(wanted["low"], wanted["high"]))
         .where(_labels_match())
         .groupBy(*kept, "bucket").agg(F.sum("__rows").alias("rows"))
     )
@@ -154,13 +174,14 @@ def _needed(
     )
 
 
-def _meet(events: DataFrame, needed: DataFrame, max_broadcast: int) -> DataFrame:
+def _meet(events: DataFrame, needed: DataFrame) -> DataFrame:
     """Requests with the events of the buckets they need."""
     asked = _renamed(needed.drop("rows"))
     ts = F.col("occurred_at")
     return (
-        events.join(broadcast_if_small(asked, max_broadcast), list(MEETING))
-        .where((ts >= F.col("r_start")) & (ts < F.col("r_end")) & _labels_match() & _ids_match())
+        events.join(asked, list(MEETING))
+        .where((ts >= F.col("r_start")) & (ts < F.col("r_end")) & _labels_match() & _ids_match()
+               & _behind_cursor())
         .drop("path", "key", "bucket")
     )
 
@@ -187,5 +208,6 @@ def _pages(pairs: DataFrame, largest: int) -> DataFrame:
         .withColumn("request_id", F.col("r_request_id"))
         .withColumn("next_cursor", F.when(
             F.col("has_more") & (F.col("pos") == F.col("r_limit")), next_cursor()))
-        .drop(*[f"r_{c}" for c in REQUEST_COLUMNS if f"r_{c}" in top.columns])
+        .drop("r_after", "r_after_id",
+              *[f"r_{c}" for c in REQUEST_COLUMNS if f"r_{c}" in top.columns])
     )

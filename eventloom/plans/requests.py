@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.scalars import instant, is_iso
+from eventloom.functions.cursors import decode_cursor
+from eventloom.functions.scalars import instant, is_iso, strip
 from eventloom.model import EVENT_TYPES, Limits
 
 MICROS_PER_DAY = 86_400_000_000
 
 
 def _list_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ",", -1), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, ",", -1), lambda p: strip(p)), lambda p: p != "")
 
 
 def normalise_requests(df: DataFrame, now: Column) -> DataFrame:
@@ -110,7 +111,7 @@ def validate_requests(df: DataFrame, now: Column, limits: Limits | None = None)
     """Typed requests with ``issues``; a request without issues may be answered.
 
     The range rules are skipped where a field is unreadable, as they would have
-    nothing to compare.
+    nothing to compare.  The cursor is looked at last, in requests that are right otherwise.
     """
     limits = limits or Limits()
     typed = normalise_requests(df, now).withColumns({
@@ -121,9 +122,15 @@ def validate_requests(df: DataFrame, now: Column, limits: Limits | None = None)
     stopped = F.exists(
         "__fields", lambda i: i["code"].isin("invalid_type", "invalid_enum_value"))
     none = F.array().cast("array<struct<path:string,message:string,code:string>>")
+    given = F.coalesce(F.col("cursor") != "", F.lit(False))
+    readable = decode_cursor(F.col("cursor"))["occurred_at"].isNotNull()
+    wrong_cursor = F.array(_issue("cursor", "Invalid pagination cursor", "custom"))
     return found.withColumn(
         "issues",
         F.concat("__fields", F.when(~stopped, _range_issues(limits)).otherwise(none)),
+    ).withColumn(
+        "issues",
+        F.when((F.size("issues") == 0) & given & ~readable, wrong_cursor).otherwise(F.col("issues")),
     ).withColumns({
         "limit": F.coalesce("limit_no", F.lit(limits.default_page)).cast("int"),
         "sort": F.coalesce("sort", F.lit("desc")),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,7 @@ RUNTIME_CONF = {
 }
 
 _local_scratch: str | None = None
+_runs = threading.local()
 
 
 def build_session(app: str = "eventloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,7 +60,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created or reused."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    opened = getattr(_runs, "folders", [])
+    top = opened[-1] if opened else shared_dir(spark)
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """A folder of its own for what a job writes in between, removed when the job is over.
+
+    Only for jobs that write their results elsewhere before they end: a DataFrame made
+    inside cannot be read after it.
+    """
+    folder = scratch(spark, label)
+    _runs.folders = [*getattr(_runs, "folders", []), folder]
+    try:
+        yield folder
+    finally:
+        _runs.folders = _runs.folders[:-1]
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

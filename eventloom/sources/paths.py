@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -20,6 +21,27 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def folder_of_row() -> Column:
+    """The folder of the file a row was read from, as Spark lists it; valid right after a read."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*\\z", "")
+
+
+def delete_folders(folders: DataFrame, top: str) -> None:
+    """Removes the listed folders (column ``folder``, from ``folder_of_row``) below ``top``.
+
+    Only folders Spark found itself are named here, never paths put together from values,
+    which clients choose; what does not lie below ``top`` is refused.
+    """
+    spark = folders.sparkSession
+    fs, root = _file_system(spark, top)
+    inside = fs.makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    for row in folders.select("folder").distinct().toLocalIterator():
+        target = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row.folder))
+        if not target.toUri().getPath().startswith(inside):
+            raise ValueError(f"{row.folder} is not below {top}")
+        fs.delete(target, True)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of the data folders directly below ``path``."""
     fs, target = _file_system(spark, path)

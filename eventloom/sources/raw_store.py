@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from eventloom.functions.scalars import epoch_millis, instant
 from eventloom.functions.variants import fields_of
 from eventloom.model import JSON_TIME, POINTER_SCHEMA, RAW_SCHEMA
-from eventloom.operators.dedup import broadcast_if_small, once_per_key
+from eventloom.operators.dedup import once_per_key
 from eventloom.operators.parsing import explode_events, open_envelopes, parse_bodies
-from eventloom.session import materialise
-from eventloom.sources import paths
+from eventloom.session import materialise, run_folder
+from eventloom.sources import id_table, paths
 
 KEY_PREFIX = "raw-events/"
 RAW_PARTITIONS = ("app_id", "year", "month", "day")
@@ -54,32 +55,34 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -> None:
-    """Adds batches whose ``batch_id`` is not there yet.
+    """Adds batches whose ``batch_id`` is not there yet, on whatever day it came before.
 
-    Only days that arrive now are searched for known ids, and only ids are shuffled
-    for it, not bodies.  With ``commit_id`` the batches land in a folder of their own,
-    which a retry replaces as a whole and does not search.
+    Known ids have a table of their own beside the batches, of which only the touched parts
+    are read; bodies are not shuffled for the check.  With ``commit_id`` the batches land in a
+    folder of their own, which a retry replaces as a whole and does not count as known.
     """
     spark = raw.sparkSession
-    new = once_per_key(raw, "batch_id", [F.col("received_at")])
-    if paths.exists(spark, path):
-        here = read_raw(spark, path)
-        if commit_id is not None:
-            here = here.where(~F.input_file_name().contains(f"/commit_id={commit_id}/"))
-        days = broadcast_if_small(raw.select(*RAW_PARTITIONS[1:]).distinct())
-        known = here.select("batch_id", *RAW_PARTITIONS[1:]).join(
-            days, list(RAW_PARTITIONS[1:]), "left_semi")
-        known = known.join(broadcast_if_small(raw.select("batch_id")), "batch_id", "left_semi")
-        known = broadcast_if_small(materialise(known.select("batch_id").distinct(), "known"))
-        new = new.join(known, "batch_id", "left_anti")
-    target, mode = (path, "append") if commit_id is None else (
-        f"{path}/commit_id={commit_id}", "overwrite")
-    (
-        new.select(*RAW_SCHEMA.fieldNames())
-        .hint("rebalance", *RAW_PARTITIONS)
-        .write.mode(mode).option("partitionOverwriteMode", "static").options(**JSON_TIME)
-        .partitionBy(*RAW_PARTITIONS).json(target)
-    )
+    ids = id_table.table_of(path)
+    with run_folder(spark, "raw"):
+        if not paths.exists(spark, ids) and paths.exists(spark, path):
+            id_table.add_ids(read_raw(spark, path), ids, "batch_id", id_table.ALL)
+        known = id_table.read_ids(spark, ids, "batch_id", commit_id)
+        known = materialise(id_table.already_known(raw, known, "batch_id"), "known")
+        new = once_per_key(raw, "batch_id", [F.col("received_at")])
+        new = new.join(known, "batch_id", "left_anti").select(*RAW_SCHEMA.fieldNames())
+        target, mode = path, "append"
+        if commit_id is None:
+            # Without a folder of their own, what is new is fixed before the rows land.
+            new = materialise(new, "new")
+        else:
+            target, mode = f"{path}/commit_id={commit_id}", "overwrite"
+        (
+            new.hint("rebalance", *RAW_PARTITIONS)
+            .write.mode(mode).option("partitionOverwriteMode", "static").options(**JSON_TIME)
+            .partitionBy(*RAW_PARTITIONS).json(target)
+        )
+        written = new if commit_id is None else read_raw(spark, target)
+        id_table.add_ids(written, ids, "batch_id", commit_id or uuid.uuid4().hex)
 
 
 def raw_partitions_hive(raw: DataFrame) -> DataFrame:
@@ -154,17 +157,21 @@ def distinct_pointers(pointers: DataFrame) -> DataFrame:
 def found_batches(pointers: DataFrame, raw: DataFrame) -> DataFrame:
     """The pointers whose batch exists, with its ``body``.
 
-    The days of the pointers restrict the raw scan to their partitions.  A small
-    set of pointers is sent to that scan, and the bodies are not shuffled.
+    App and day, as the pointer's location names them, restrict the raw scan to their
+    partitions.  The distinct pointers are written first, so Spark knows their size when it
+    plans the join; few are sent to that scan, and the bodies are not shuffled.
     """
     day = day_parts(F.col("received_at"))
+    # An app may hold slashes: it is what lies between the prefix and the day.
+    app = F.regexp_extract(
+        "storage_location", rf"(?s)\A{KEY_PREFIX}(.*)/\d{{4,}}/\d\d/\d\d/[^/]*\z", 1)
     wanted = distinct_pointers(pointers).withColumns({f"__{k}": v for k, v in day.items()})
-    bodies = raw.select(F.col("batch_id").alias("__id"), "body", *RAW_PARTITIONS[1:])
+    wanted = materialise(wanted.withColumn("__app_id", app), "wanted")
+    bodies = raw.select(F.col("batch_id").alias("__id"), "body", *RAW_PARTITIONS)
     on = F.col("__id") == F.col("batch_id")
-    for part in RAW_PARTITIONS[1:]:
+    for part in RAW_PARTITIONS:
         on = on & (F.col(part) == F.col(f"__{part}"))
-    return bodies.join(broadcast_if_small(wanted), on).select(
-        *POINTER_SCHEMA.fieldNames(), "body")
+    return bodies.join(wanted, on).select(*POINTER_SCHEMA.fieldNames(), "body")
 
 
 def missing_batches(pointers: DataFrame, found: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ y AS (
     CASE WHEN from_bad OR until <= ts THEN TRUE ELSE FALSE END AS unordered,
     CASE WHEN from_bad OR until > ts + INTERVAL 31 DAY THEN TRUE ELSE FALSE END AS wide
   FROM z),
-i AS (
+others AS (
   SELECT request_id, 1 AS o, 'appId' AS path, 'Required' AS message, 'invalid_type' AS code
     FROM y WHERE app_missing
   UNION ALL SELECT request_id, 1, 'appId', 'appId is required', 'too_small' FROM y WHERE app_blank
@@ -183,6 +183,11 @@ i AS (
     FROM y WHERE NOT stopped AND unordered
   UNION ALL SELECT request_id, 11, 'from', 'Date range must not exceed 31 days', 'custom'
     FROM y WHERE NOT stopped AND wide
+),
+i AS (
+  SELECT * FROM others
+  UNION ALL SELECT request_id, 12, 'cursor', 'Invalid pagination cursor', 'custom' FROM y
+    WHERE n % 17 = 1 AND request_id NOT IN (SELECT request_id FROM others)
 )"""
 
 SQL["validate_requests"] = f"""{with_(CANONICAL, REQUESTS)}
@@ -203,7 +208,10 @@ r AS (
     TIMESTAMP '2024-01-02' + to_days(CAST(user_no % 7 AS INTEGER)) + to_hours(user_no % 5) AS f,
     TIMESTAMP '2024-01-02' + to_days(CAST(user_no % 7 AS INTEGER)) + to_hours(user_no % 5)
       + to_days(CAST(user_no % 20 + 1 AS INTEGER)) AS t,
-    user_no % 20 + 5 AS lim, user_no % 3 = 0 AS up
+    user_no % 20 + 5 AS lim, user_no % 3 = 0 AS up,
+    CASE WHEN user_no // 3 % 3 = 1 THEN TIMESTAMP '2024-01-02'
+      + to_days(CAST(user_no % 7 AS INTEGER)) + to_hours(user_no % 5)
+      + to_days(CAST(user_no % 9 AS INTEGER)) END AS after
   FROM (SELECT DISTINCT app_id, user_no FROM c)),
 hits AS (
   SELECT r.*, c.event_id, c.occurred_at_iso,
@@ -211,6 +219,9 @@ hits AS (
       CASE WHEN up THEN epoch_us(occurred_at) ELSE -epoch_us(occurred_at) END) AS pos,
     count(*) OVER (PARTITION BY r.request_id) AS matches
   FROM r JOIN c ON c.app_id = r.app_id AND c.occurred_at >= r.f AND c.occurred_at < r.t
+    AND (after IS NULL OR CASE WHEN up
+      THEN c.occurred_at > after OR c.occurred_at = after AND c.event_id > '8'
+      ELSE c.occurred_at < after OR c.occurred_at = after AND c.event_id < '8' END)
     AND (u % 8 <> 3 OR c.type IN ('track', 'page'))
     AND (u % 8 <> 7 OR c.name = 'app.error')
     AND (u % 4 <> 0 OR c.user_id = 'user_' || u)
@@ -540,6 +551,14 @@ SQL["purge_actions"] = f"""{BASE}
     CASE WHEN strftime(occurred_at, '%Y-%m-%d') < '2024-01-26' THEN 'drop'
       WHEN strftime(occurred_at, '%Y-%m-%d') = '2024-01-26' THEN 'rewrite' ELSE 'keep' END AS action
   FROM c GROUP BY 1, 2"""
+SQL["upsert_store"] = f"""{BASE}, m AS (
+  SELECT *, CASE WHEN user_no % 5 = 2 OR w % 4 = 0 THEN occurred_at + INTERVAL 40 DAY
+    ELSE occurred_at END AS late FROM c)
+  SELECT ['app1', 'shop:eu', 'z/../app_id=app1', 'a/b', '50%'][user_no % 5 + 1] AS app_id,
+    event_id, late AS occurred_at, strftime(late, '%Y-%m-%d') AS dt FROM m"""
+SQL["stream_compact_upsert"] = f"""{BASE}
+  SELECT event_id, app_id, CASE WHEN app_id = 'app1' THEN 'changed' ELSE name END AS name,
+    strftime(occurred_at, '%Y-%m-%d') AS dt FROM c"""
 SQL["purge_store"] = f"""{BASE}
   SELECT event_id, occurred_at FROM c WHERE epoch_us(occurred_at) // 1000000 + 340 * 86400
     > epoch_us(TIMESTAMP '2024-12-31 07:30:00') // 1000000"""

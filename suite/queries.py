@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from eventloom import fixtures as X
 from eventloom.functions.cursors import decode_cursor, encode_cursor, sort_key
-from eventloom.functions.scalars import md5_uuid
-from eventloom.model import JSON_TIME, EventQuery, Limits
+from eventloom.functions.scalars import iso_text, md5_uuid
+from eventloom.model import JSON_TIME, STORE_SCHEMA, EventQuery, Limits
 from eventloom.operators import dedup, health, normalise, parsing, processing, retention, validation
 from eventloom.plans import many, paging, requests
 from eventloom.session import materialise, prepare, scratch
@@ -133,7 +133,7 @@ def raw_requests(spark, sf_dir) -> DataFrame:
         F.when(n % 37 == 3, "").when(n % 37 != 5, F.col("app_id")).alias("app_id"),
         F.when(n % 41 == 4, "yesterday").when(n % 41 != 6, start).alias("from"),
         F.when(n % 7 != 2, end).alias("to"),
-        F.get(F.array(*map(F.lit, ("track, page", " , ", "track,click", "identify"))),
+        F.get(F.array(*map(F.lit, ("track,\tpage\n", " ,\u2003", "track,click", "identify"))),
               (n % 9).cast("int")).alias("types"),
         F.get(F.array(*map(F.lit, ("page.viewed,, app.error", ","))), (n % 11).cast("int"))
         .alias("names"),
@@ -141,7 +141,8 @@ def raw_requests(spark, sf_dir) -> DataFrame:
         F.lit(None).cast("string").alias("anonymous_id"),
         F.lit(None).cast("string").alias("session_id"),
         limit.alias("limit"),
-        F.lit(None).cast("string").alias("cursor"),
+        F.when(n % 17 == 1, "***").when(n % 17 == 2, paging.next_cursor()).when(n % 17 == 3, "")
+        .alias("cursor"),
         F.get(F.array(*map(F.lit, ("DESC", "Asc", "up"))), (n % 12).cast("int")).alias("sort"),
     )
 
@@ -181,6 +182,9 @@ def request_table(spark, sf_dir) -> DataFrame:
         F.when(kind == 2, F.concat(F.lit("sess_"), user, F.lit("_20240110"))).alias("session_id"),
         (u % 20 + 5).cast("int").alias("limit"),
         F.when(u % 3 == 0, "asc").otherwise("desc").alias("sort"),
+        F.when(F.expr("user_no div 3 % 3 = 1"), encode_cursor(F.col("app_id"), sort_key(
+            iso_text(start + F.make_dt_interval(days=(u % 9).cast("int"))), F.lit("8"))))
+        .alias("cursor"),
     )
 
 
@@ -192,9 +196,9 @@ def query_many(spark, sf_dir):
 
 @query
 def query_many_shuffled(spark, sf_dir):
-    """The same answer when nothing may be broadcast and every busy hour is hot."""
+    """The same answer when every busy hour is hot."""
     pages = many.query_many(
-        store(spark, sf_dir), request_table(spark, sf_dir), max_broadcast=0, hot_rows=2)
+        store(spark, sf_dir), request_table(spark, sf_dir), hot_rows=2)
     return pages.select("request_id", "pos", "event_id", "has_more", "next_cursor")
 
 
@@ -328,12 +332,12 @@ def redact_props(spark, sf_dir):
 
 @query
 def redact_any_depth(spark, sf_dir):
-    """The same documents six objects further down."""
-    doc = F.col("doc")
+    """The same documents six objects further down, one name spelled by escapes."""
+    doc = F.replace("doc", F.lit('"Password"'), F.lit(r'"P\u0061ssword"'))
     for level in range(6):
         doc = F.concat(F.lit(f'{{"l{level}":'), doc, F.lit("}"))
     wrapped = _private_documents(spark, sf_dir).withColumn("doc", doc)
-    hidden = normalise.redact(wrapped, "doc", any_depth=True)
+    hidden = normalise.redact(wrapped, "doc")
     path = "$" + "".join(f".l{level}" for level in reversed(range(6)))
     return _redacted_fields(hidden.withColumn("doc", F.get_json_object("doc", path)))
 
@@ -374,7 +378,7 @@ def stamp_batches(spark, sf_dir):
     n = F.expr("CAST(event_id AS BIGINT)")
     header = (
         F.when(n % 4 == 0, F.upper(md5_uuid(F.concat(F.lit("h"), n.cast("string")))))
-        .when(n % 4 == 1, F.concat(F.lit("  "), md5_uuid(n.cast("string")), F.lit(" ")))
+        .when(n % 4 == 1, F.concat(F.lit("\u00a0\t "), md5_uuid(n.cast("string")), F.lit(" \r\n")))
         .when(n % 4 == 2, "not-a-uuid")
     )
     sent = events(spark, sf_dir).select(
@@ -566,18 +570,17 @@ def dedup_within(spark, sf_dir):
 STORED = ("event_id", "app_id", "occurred_at", "received_at", "value")
 
 
+def in_store_form(rows: DataFrame) -> DataFrame:
+    """Rows with the columns of the store that the generated events lack."""
+    lacking = [f for f in STORE_SCHEMA.fields if f.name not in rows.columns]
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking})
+
+
 @query
 def append_events(spark, sf_dir):
     """First write wins: two commits on disk, the second one repeated."""
     path = scratch(spark, "store")
-    both = delivered(spark, sf_dir).withColumns({
-        "actor_session_id": F.lit(None).cast("string"),
-        "app_version": F.lit(None).cast("string"),
-        "context": F.lit(None).cast("string"),
-        "consent": F.lit(None).cast(
-            "struct<analytics:boolean,experimentation:boolean,personalization:boolean,"
-            "timestamp:string>"),
-    })
+    both = in_store_form(delivered(spark, sf_dir))
     event_store.append_events(both.where(F.col("occurred_at") < at(STORE_CUT)), path, "a")
     event_store.append_events(both, path, "b")
     event_store.append_events(both, path, "b")
@@ -685,12 +688,56 @@ def layout_pages(spark, sf_dir):
              ("session", {"session_id": "sess_7_20240105"}))
     for label, given in asked:
         q = EventQuery("app1", datetime(2024, 1, 2), datetime(2024, 1, 30), limit=20, **given)
-        page = paging.query_page(event_store.layout_for(spark, path, q, view.schema, 8), q)
+        page = paging.query_page(event_store.layout_for(spark, path, q, view.schema), q)
         rows = page.select(F.lit(label).alias("layout"), "pos", "event_id", "has_more")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+# App ids as clients may choose them: with what means something in a path, or to Spark's folders.
+ODD_APPS = ("app1", "shop:eu", "z/../app_id=app1", "a/b", "50%")
+
+
+def odd_store(spark, sf_dir) -> DataFrame:
+    """The stored events, dealt to apps with awkward names."""
+    app = F.get(F.array(*map(F.lit, ODD_APPS)), (F.col("user_no") % len(ODD_APPS)).cast("int"))
+    return store(spark, sf_dir).withColumn("app_id", app)
+
+
+@query
+def upsert_store(spark, sf_dir):
+    """A store on disk before and after events of some apps and batches move to another day."""
+    path = scratch(spark, "upsert")
+    view = odd_store(spark, sf_dir)
+    columns = layout_input(spark, sf_dir).columns
+    moved = view.where("user_no % 5 = 2 OR w % 4 = 0")
+    late = F.col("occurred_at") + F.make_dt_interval(days=F.lit(40))
+    moved = moved.withColumns({"occurred_at": late, "dt": F.to_date(late)})
+    event_store.upsert_into(in_store_form(view.select(*columns)), path, ("app_id", "event_id"))
+    event_store.upsert_into(in_store_form(moved.select(*columns)), path, ("app_id", "event_id"))
+    return event_store.read_store(spark, path).select(
+        "app_id", "event_id", "occurred_at", F.date_format("dt", "yyyy-MM-dd").alias("dt"))
+
+
+@query
+def stream_compact_upsert(spark, sf_dir):
+    """A streamed store is compacted where it lies, goes on streaming, and takes an upsert."""
+    root = _run_ingest(spark, sf_dir, dirty=False)
+    events_path = f"{root}/out/events"
+    _run_process(spark, root)
+    event_store.compact_in_place(spark, events_path)
+    # A new checkpoint delivers every pointer again: all of it is known by now.
+    jobs.stream_process(
+        spark, f"{root}/pointers", f"{root}/raw", f"{root}/out", f"{root}/ckpt-again",
+        now=at(NOW), max_files=4).awaitTermination()
+    event_store.compact_in_place(spark, events_path)
+    rows = event_store.read_store(spark, events_path)
+    changes = materialise(rows.where("app_id = 'app1'").withColumn("name", F.lit("changed")), "changes")
+    event_store.upsert_into(changes, events_path)
+    return event_store.read_store(spark, events_path).select(
+        "event_id", "app_id", "name", F.date_format("dt", "yyyy-MM-dd").alias("dt"))
+
+
 @query
 def purge_expired(spark, sf_dir):
     return retention.purge_expired(store(spark, sf_dir), NOW, 340).select(
@@ -706,7 +753,7 @@ def purge_actions(spark, sf_dir):
 @query
 def purge_store(spark, sf_dir):
     path = scratch(spark, "purge")
-    view = layout_input(spark, sf_dir)
+    view = odd_store(spark, sf_dir).select(*layout_input(spark, sf_dir).columns)
     folder = f"{path}/commit_id=a"
     view.hint("rebalance", "app_id", "dt").write.partitionBy("app_id", "dt").parquet(folder)
     retention.purge_store(spark, path, datetime(2024, 12, 31, 7, 30), 340)
@@ -852,14 +899,13 @@ def stream_dead_letters(spark, sf_dir):
 
 @query
 def stream_dedup_watermark(spark, sf_dir):
-    """Copies an hour apart fall within a two-hour delay."""
+    """Copies and first copies come in any order, hours behind the newest."""
     source, root = scratch(spark, "copies"), scratch(spark, "stream")
     rows = delivered(spark, sf_dir).select("event_id", "app_id", "received_at")
-    rows.repartitionByRange(4, "received_at").sortWithinPartitions("received_at") \
-        .write.parquet(source)
-    stream = spark.readStream.schema("event_id STRING, app_id STRING, received_at TIMESTAMP_NTZ") \
+    rows.repartition(4, F.xxhash64("event_id", "received_at")).write.parquet(source)
+    stream = spark.readStream.option("maxFilesPerTrigger", 2).schema("event_id STRING, app_id STRING, received_at TIMESTAMP_NTZ") \
         .parquet(source)
-    jobs.stream_dedup(stream, f"{root}/out", f"{root}/ckpt", "2 hours").awaitTermination()
+    jobs.stream_dedup(stream, f"{root}/out", f"{root}/ckpt").awaitTermination()
     return spark.read.schema("event_id STRING, app_id STRING").parquet(f"{root}/out").select(
         "event_id", "app_id")
 

@@ -50,6 +50,7 @@ CASES = {
     "version_number": (event(schemaVersion=1), [("schemaVersion", "invalid_literal")]),
     "id_missing": (event(eventId=KeyError), [("eventId", "invalid_type")]),
     "id_bad": (event(eventId="123"), [("eventId", "invalid_string")]),
+    "id_line_end": (event(eventId=GOOD["eventId"] + "\n"), [("eventId", "invalid_string")]),
     "id_upper": (event(eventId=GOOD["eventId"].upper()), []),
     "type_unknown": (event(type="click", eventId="x"), [("type", "invalid_union_discriminator")]),
     "type_missing": (event(type=KeyError), [("type", "invalid_union_discriminator")]),
@@ -59,6 +60,8 @@ CASES = {
     "time_no_day": (event(occurredAt="2023-02-29T00:00:00Z"), [("occurredAt", "invalid_string")]),
     "time_hour": (event(occurredAt="2024-01-01T24:00:00Z"), [("occurredAt", "invalid_string")]),
     "time_nanos": (event(occurredAt="2024-01-01T00:00:00.123456789Z"), []),
+    "time_line_end": (event(occurredAt="2024-01-01T00:00:00Z\n"), [("occurredAt", "invalid_string")]),
+    "name_line_end": (event(name="cart.item\n"), [("name", "invalid_string")]),
     "name_upper": (event(name="Cart"), [("name", "invalid_string")]),
     "name_dot": (event(name="cart."), [("name", "invalid_string")]),
     "name_missing": (event(name=KeyError), [("name", "invalid_type")]),
