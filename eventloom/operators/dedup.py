@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.session import materialise
 from eventloom.sources.id_table import already_known
 
+# Fixed value: why an event was skipped.
 DUPLICATE_REASON = "Duplicate event (already processed)"
 FIRST_COPY = ("received_at", "batch_id", "event_index")
 

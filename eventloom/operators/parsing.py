@@ -10,6 +10,7 @@ from eventloom.functions.variants import as_array, fields_of
 
 ENVELOPE_FIELDS = ("schemaVersion", "sentAt", "events")
 
+# What a caller is told.
 MISSING_BODY = "Missing request body"
 INVALID_JSON = "Invalid JSON in request body"
 

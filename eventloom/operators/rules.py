@@ -24,6 +24,8 @@ from eventloom.model import (
     Limits,
 )
 
+# Fixed values of the wire contract: these member names, and the messages and codes of all
+# issues below.
 ACTOR_MEMBERS = ("userId", "anonymousId", "sessionId")
 PAGE_MEMBERS = ("url", "path", "referrer", "title")
 CONSENT_FLAGS = ("analytics", "experimentation", "personalization")

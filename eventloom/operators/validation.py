@@ -30,6 +30,7 @@ CONSENT_MEMBERS = (*CONSENT_FLAGS, "timestamp")
 # Re-writing can widen a number such as 1e20 to its digits, at most this many times.
 WIDENING = 6
 
+# Words that hide a message, and what is shown instead.
 SENSITIVE_WORDS = ("password", "token", "secret", "key", "authorization")
 HIDDEN_MESSAGE = "Validation error occurred"
 

@@ -19,6 +19,7 @@ from eventloom.sources import id_table, paths
 KEY_PREFIX = "raw-events/"
 RAW_PARTITIONS = ("app_id", "year", "month", "day")
 POINTER_FIELDS = ("requestId", "batchId", "receivedAt", "storageLocation")
+# Error texts.
 BAD_MESSAGE = "Failed to parse queue message: not a JSON object"
 MISSING_BATCH = "Failed to fetch raw batch: Raw batch not found: "
 
