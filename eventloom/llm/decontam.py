@@ -162,8 +162,9 @@ def _lookup(items: list[tuple[str, np.ndarray]], window: int, slop: int):
         return pd.DataFrame({
             "segment": np.full(len(keys), segment, np.int64),
             "ordinal": np.array([d for d, _ in keys], np.int64),
-            "item": [name for _, name in keys],
-            "hit": [np.unique(np.concatenate(hits[k])).tolist() if k in hits else [] for k in keys],
+            "item": pd.Series([name for _, name in keys], dtype=object),
+            "hit": pd.Series([np.unique(np.concatenate(hits[k])).tolist() if k in hits else []
+                              for k in keys], dtype=object),
         })
 
     return search

@@ -235,7 +235,8 @@ def _chosen(order: list[Node]) -> list[Node]:
         inside = heart
         while inside is not None and inside is not x:
             inside = inside.parent
-        if inside is None and x.density >= threshold and x.link_chars * 2 < x.chars:
+        # Titles are short, so the threshold is not for them.
+        if inside is None and (x.density >= threshold or x.tag == "h1") and x.link_chars * 2 < x.chars:
             out.append(x)
         elif inside is not None or x is body:
             stack += [c for c in reversed(x.children) if isinstance(c, Node) and not _excluded(c)]
@@ -313,13 +314,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([len(t) for t in texts], pa.int64())], names=["page", "text", "n_chars"])
 
 
+def _schema(pages: DataFrame) -> str:
+    return f"page {pages.schema['page'].dataType.simpleString()}, text string, n_chars long"
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """All columns of ``pages`` as ``page``, with the main text and its length in code points."""
     packed = pages.select(F.struct("*").alias("page"), "html")
-    return map_texts(packed, _extract, f"page {packed.schema['page'].dataType.simpleString()}, text string, n_chars long")
+    return map_texts(packed, _extract, _schema(packed))
 
 
 def report(pages: DataFrame) -> DataFrame:
     narrow = pages.select(F.struct("page_id", "url").alias("page"), "html")
-    told = map_texts(narrow, _extract, f"page {narrow.schema['page'].dataType.simpleString()}, text string, n_chars long")
+    told = map_texts(narrow, _extract, _schema(narrow))
     return told.select("page.page_id", "page.url", "text", "n_chars")

@@ -216,7 +216,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame) -> DataFrame:
     """The trigram index of ``docs.text`` as a written table."""
     narrow = docs.select("text", F.xxhash64("text").alias("code"))
-    return materialise(map_texts(narrow, _index, "block long, trigram int, texts binary"), "trigrams")
+    index = map_texts(narrow, _index, "block long, trigram int, texts binary")
+    return materialise(index, "trigrams")
 
 
 def _evaluate(query: Query, postings: dict[int, np.ndarray]) -> np.ndarray:
@@ -287,7 +288,9 @@ def scan(docs: DataFrame, keep: Column, rules: tuple[Rule, ...] = RULES) -> Data
     kind = texts.schema["doc"].dataType.simpleString()
     marked = texts.join(found, "code", "left").select(
         "doc", "text", F.coalesce("rules", F.lit(0).cast("long")).alias("rules"))
-    return map_texts(marked, _scan(rules, always), f"doc {kind}, kinds array<string>, starts array<long>, ends array<long>")
+    return map_texts(
+        marked, _scan(rules, always),
+        f"doc {kind}, kinds array<string>, starts array<long>, ends array<long>")
 
 
 def report(docs: DataFrame) -> DataFrame:

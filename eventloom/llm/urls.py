@@ -4,8 +4,9 @@ Fixed host and path rules judge what they fit.  All other urls are judged by rul
 FP-growth mines from the labelled urls: combinations of url tokens (labels of the host, path
 segments with numbers folded, file ending, query names) that go with a verdict.  Rules below
 ``MIN_SUPPORT`` or ``MIN_CONFIDENCE`` are pruned.  The rest are kept in an inverted index under
-their rarest token; a url looks up its tokens there and checks the whole combination.  The most confident rule decides (then the
-better supported, then the order of its text); without one the url is allowed.
+their rarest token; a url looks up its tokens there and checks the whole combination.  The most
+confident rule decides (then the better supported, then the shorter, then the later by its
+text); without one the url is allowed.
 
 Labels are the verdicts of the fixed rules, which a url's own host shares with others it does
 not fit, and may be any table of (host, path, verdict) instead.
@@ -92,7 +93,8 @@ def parsed(pages: DataFrame) -> DataFrame:
     parts = pages.select(F.struct("*").alias("page")).select(
         "page", host(url).alias("host"), path(url).alias("path"),
         F.coalesce(F.regexp_extract(url, PARTS, 3), F.lit("")).alias("rest"))
-    return parts.select("page", "host", "path", tokens(F.col("host"), F.col("path"), F.col("rest")).alias("tokens"))
+    own = tokens(F.col("host"), F.col("path"), F.col("rest"))
+    return parts.select("page", "host", "path", own.alias("tokens"))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT,
@@ -128,7 +130,7 @@ def verdicts(sets: DataFrame, index: DataFrame) -> DataFrame:
     best = found.groupBy("tokens").agg(F.max(F.struct(
         "confidence", "support", (-F.size("items")).alias("short"),
         F.array_join("items", " ").alias("text"), "verdict")).alias("best"))
-    return best.select("tokens", F.col("best.verdict").alias("method"), F.col("best.confidence").alias("confidence"))
+    return best.select("tokens", F.col("best.verdict").alias("method"), "best.confidence")
 
 
 def judge(pages: DataFrame, rules: tuple[HostRule, ...] = HOST_RULES) -> DataFrame:
