@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from eventloom.session import scratch
 
 #: What is left of a bucket after the first round is paired off at once up to this size.
-SMALL = 8
+SMALL = 4
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder, read back."""
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1") \
+        .parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -34,8 +35,10 @@ def numbered(df: DataFrame, label: str) -> DataFrame:
                   label)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root on another."""
+    ends = e.select("u").unionByName(e.select(F.col("v").alias("u")).distinct())
+    return not ends.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,8 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                .where("u != v").distinct(), "edges")
-    state = _state(e)
-    while state[0]:
+    while not _is_forest_of_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m"))
                        .select("u", F.least("u", "m").alias("m")), "least")
@@ -58,9 +60,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, state = state, _state(e)
-        if before == state:
-            break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -68,43 +67,51 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
+def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+                promising: Callable[[DataFrame], DataFrame] | None = None
                 ) -> tuple[DataFrame, DataFrame]:
     """(links, groups) of ``members`` (bucket, node): pairs that ``verify`` keeps, and their groups.
 
-    ``verify`` takes distinct pairs (a, b), a < b, and returns those that are alike.  ``links``
-    (a, b) connect each group; ``groups`` (node, root) has the nodes that have a link.
+    ``verify`` takes distinct pairs (a, b), a < b, and returns those that are alike.
+    ``promising`` takes the nodes (node) that the first round left open and returns those
+    that may be like another one of them; the others are proved not to be, and leave.
+    ``links`` (a, b) connect each group; ``groups`` (node, root) has the nodes with a link.
     """
     spark: SparkSession = members.sparkSession
     nothing = spark.createDataFrame([], "a long, b long")
-    full = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"),
-                                                F.min("node").alias("hub")).where("size > 1"), "hubs")
-    open_ = stored(members.join(full.select("bucket"), "bucket", "left_semi"), "members")
-    pairs = open_.join(full, "bucket").where("node != hub") \
-        .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    full = stored(members.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.max("node").alias("last"))
+        .where("size > 1 and hub != last"), "hubs")
+    # A bucket of two is its own pair; only larger ones need their members again.
+    two = full.select(F.col("hub").alias("a"), F.col("last").alias("b"))
+    full = full.where("size > 2").select("bucket", "hub")
+    open_ = stored(members.join(full, "bucket"), "members")
+    pairs = open_.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")) \
+        .unionByName(two).distinct()
     tested, links = [stored(pairs, "pairs")], []
     links.append(stored(verify(tested[0]).select("a", "b"), "links"))
     groups = components(links[0])
-    open_ = open_.join(full.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+    open_ = open_.where("node != hub").select("bucket", "node")
     round_ = 0
     while True:
-        round_ += 1
-        rooted = open_.join(groups, "node", "left").select(
-            "bucket", "node", F.coalesce("root", "node").alias("root"))
-        rooted = stored(rooted, "rooted")
-        wide = stored(rooted.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"),
-            F.min("node").alias("first")).where("low != high").drop("low", "high"), "open")
+        rooted, wide = _still_open(open_, groups)
         if not wide.head(1):
             break
+        if round_ == 0 and promising is not None:
+            left = rooted.join(wide.select("bucket"), "bucket", "left_semi")
+            kept = stored(promising(left.select("node").distinct()), "promising")
+            open_ = left.join(kept, "node", "left_semi").select("bucket", "node")
+            rooted, wide = _still_open(open_, groups)
+            if not wide.head(1):
+                break
         rooted = rooted.join(wide, "bucket")
-        # Small buckets: every member is a hub.  Others: about SMALL * 2 ** round of them.
+        # Small buckets: every member is a hub.  Others: about SMALL of them, doubled each round.
         share = F.greatest(F.ceil(F.col("size") / (SMALL * 2 ** round_)), F.lit(1))
         chosen = (F.col("size") <= SMALL) | (F.col("node") == F.col("first")) | (
             F.pmod(F.xxhash64("node", F.lit(round_)), share) == 0)
         rooted = stored(rooted.select("bucket", "node", "root", chosen.alias("hub")), "rooted")
-        hubs = stored(rooted.where("hub").select(
-            "bucket", F.col("node").alias("other"), F.col("root").alias("other_root")), "hubs")
+        hubs = rooted.where("hub").select(
+            "bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
         pairs = rooted.join(hubs, "bucket").where(
             "root != other_root and (not hub or other < node)").select(
             F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -115,4 +122,15 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
                             .unionByName(links[-1]))
         open_ = rooted.where("not hub").select("bucket", "node")
+        round_ += 1
     return _union([nothing, *links]), groups
+
+
+def _still_open(open_: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their roots, and the buckets in which these differ: bucket, size, first."""
+    rooted = stored(open_.join(groups, "node", "left").select(
+        "bucket", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    wide = rooted.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.min("node").alias("first")).where("low != high").drop("low", "high")
+    return rooted, stored(wide, "open")
