@@ -230,12 +230,11 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     return keyed.join(bad, "key", "left_anti").select("doc.*")
 
 
-def report(docs: DataFrame, items: DataFrame, slop: int = 2) -> DataFrame:
-    """The per-document digest: exact hits, and how many items are near."""
-    found = occurrences(docs, items, F.col("doc_id"), slop=slop)
+def report(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The per-document digest of exact hits; ``occurrences`` also gives the near ones."""
+    found = occurrences(docs, items, F.col("doc_id"))
     return found.select(
         F.col("key").alias("doc_id"), "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"))
+        (F.col("n_hit") > 0).alias("contaminated"))

@@ -52,7 +52,9 @@ def test_stages_by_brute_force(spark, documents, tmp_path, vocabulary):
     documents(rows).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
-    assert {d for d, *_ in clean} <= set(got)
+    # Of a text and its copy one stays, whichever comes first in the table.
+    assert {d for d, *_ in clean} - {3, 4} <= set(got)
+    assert len({3, 100} & set(got)) == len({4, 101} & set(got)) == 1
     assert not {102, 105, 106} & set(got)
     assert {103, 104} <= set(got)
     assert got[103].n_tokens != got[104].n_tokens
