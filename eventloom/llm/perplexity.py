@@ -114,10 +114,10 @@ def _discounts(rows: DataFrame) -> DataFrame:
     """lang, d1, d2, d3 of modified Kneser-Ney from counts ``n``."""
     of = rows.groupBy("lang").agg(*(
         F.sum(F.when(F.col("n") == k, 1.0).otherwise(0.0)).alias(f"t{k}") for k in range(1, 5)))
-    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+    y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
 
     def d(k: int) -> Column:
-        value = k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")
+        value = k - (k + 1) * y * F.try_divide(F.col(f"t{k + 1}"), F.col(f"t{k}"))
         # Without counts of counts to go by, half of a count is set aside.
         usable = (F.col("t1") > 0) & (F.col(f"t{k}") > 0) & (value > 0) & (value < k)
         return F.when(usable, value).otherwise(F.lit(0.5))
