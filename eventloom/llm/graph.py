@@ -19,6 +19,8 @@ from eventloom.session import scratch
 
 #: What is left of a bucket after the first round is paired off at once up to this size.
 SMALL = 4
+#: Rounds after which a bucket that is still open is worth a closer look at its members.
+PRUNED = 2
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -73,8 +75,8 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """(links, groups) of ``members`` (bucket, node): pairs that ``verify`` keeps, and their groups.
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are alike.
-    ``promising`` takes the nodes (node) that the first round left open and returns those
-    that may be like another one of them; the others are proved not to be, and leave.
+    ``promising`` takes the nodes (node) that are still open after PRUNED rounds and returns
+    those that may be like another one of them; the others are proved not to be, and leave.
     ``links`` (a, b) connect each group; ``groups`` (node, root) has the nodes with a link.
     """
     spark: SparkSession = members.sparkSession
@@ -97,7 +99,7 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         rooted, wide = _still_open(open_, groups)
         if not wide.head(1):
             break
-        if round_ == 0 and promising is not None:
+        if round_ == PRUNED and promising is not None:
             left = rooted.join(wide.select("bucket"), "bucket", "left_semi")
             kept = stored(promising(left.select("node").distinct()), "promising")
             open_ = left.join(kept, "node", "left_semi").select("bucket", "node")

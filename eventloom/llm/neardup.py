@@ -6,7 +6,8 @@ hash; every arrival falls into one of ``SLOTS`` slots, and a slot keeps the shin
 first.  A text is done as soon as no process can still be the first anywhere.  Two texts agree
 in a slot with the probability Jaccard similarity of their shingles.  Texts that agree in all
 slots of a band become candidates; candidates that agree in too few slots to be similar are
-dropped, and the rest are verified on their texts: linked if the exact probability Jaccard
+dropped, as are texts too much of whose weight lies on shingles of their own, and the rest are
+verified on their texts: linked if the exact probability Jaccard
 similarity is at least ``SIMILARITY``.
 
 Of two texts at similarity 0.8 the 16 bands of four slots miss one pair in 4,000, and the
@@ -73,10 +74,10 @@ def signatures(row: np.ndarray, code: np.ndarray, weight: np.ndarray, rows: int)
     winner = np.zeros(rows * SLOTS, dtype=np.uint64)
     rate = 1.0 / weight
     time = np.zeros(len(code))
-    step = np.uint64(0)
+    step = 0
     while len(code):
-        step += np.uint64(1)
-        draw = mix(code + step * GOLDEN)
+        step += 1
+        draw = mix(code + np.uint64(step * int(GOLDEN) & (1 << 64) - 1))
         time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) * rate
         slot = row * SLOTS + (mix(draw) % np.uint64(SLOTS)).astype(np.int64)
         np.minimum.at(first, slot, time)
@@ -176,6 +177,35 @@ def _verifier(docs: DataFrame, signed: DataFrame):
     return verify
 
 
+def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher()
+    for piece in (p for b in batches for p in slices(b, "text")):
+        words = split_words(piece.column("text"), hasher)
+        row, code, count = shingles(words, piece.num_rows)
+        total = np.bincount(row, weights=count, minlength=piece.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [piece.column("row").take(pa.array(row)), pa.array(code.view(np.int64)),
+             pa.array(count / total[row])], names=["node", "code", "mass"])
+
+
+def _promising(docs: DataFrame):
+    def keep(nodes: DataFrame) -> DataFrame:
+        """The nodes that share enough of their shingles' weight with any other of them.
+
+        The similarity of two texts is at most the share of either's weight that lies on
+        common shingles, so a text below that bound is like none of the others.
+        """
+        text = docs.select("row", F.col("doc.text").alias("text"))
+        text = text.join(nodes.withColumnRenamed("node", "row"), "row", "left_semi")
+        mass = stored(map_texts(text, _masses, "node long, code long, mass double"), "masses")
+        common = stored(mass.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                        .select("code"), "common")
+        shared = mass.join(common, "code", "left_semi").groupBy("node").agg(F.sum("mass").alias("mass"))
+        return shared.where(F.col("mass") >= SIMILARITY - 1e-9).select("node")
+
+    return keep
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """row, root, kept, group_id, group_size, n_links for each row of numbered ``docs`` (text, doc_id).
 
@@ -183,19 +213,22 @@ def groups(docs: DataFrame) -> DataFrame:
     ``kept``; ``n_links`` counts the verified links of the row's class.
     """
     texts = docs.select("row", F.col("doc.text").alias("text"))
-    signed = stored(map_texts(texts, _sign, "row long, h1 long, h2 long, signature binary, bands array<long>"), "signatures")
+    signed = map_texts(
+        texts, _sign, "row long, h1 long, h2 long, signature binary, bands array<long>")
+    signed = stored(signed, "signatures")
     worded = signed.where("h1 is not null")
     classes = stored(worded.groupBy("h1", "h2").agg(F.min("row").alias("node")), "classes")
     members = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi") \
         .select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
-    links, found = link_groups(members, _verifier(docs, signed))
+    links, found = link_groups(members, _verifier(docs, signed), _promising(docs))
     ends = links.select(F.explode(F.array("a", "b")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = stored(classes.join(found, "node", "left").join(degree, "node", "left").select(
         "h1", "h2", F.coalesce("root", "node").alias("root"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "named")
     own = signed.select("row", "h1", "h2").join(named, ["h1", "h2"], "left").select(
-        "row", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        "row", F.coalesce("root", "row").alias("root"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     own = stored(own.join(docs.select("row", F.col("doc.doc_id").alias("doc_id")), "row"), "rows")
     # The least (doc_id, row) of a group; numbers, so that hash aggregation can hold them.
     first_id = own.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
