@@ -507,11 +507,8 @@ def kneser_ney(counts, order):
     levels = [counts]
     for _ in range(order - 1):
         lower = {}
-        for g in counts if len(levels) == 1 else levels[0]:
-            pass
-        k = len(next(iter(levels[0]))) - 1
-        for g in counts:
-            lower.setdefault(g[-k:], set()).add(g)
+        for g in levels[0]:
+            lower.setdefault(g[1:], set()).add(g)
         levels.insert(0, {g: len(s) for g, s in lower.items()})
     tables = []
     for level in levels:
