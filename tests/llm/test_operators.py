@@ -1,8 +1,10 @@
 """The training-data operators against brute force, on small tables with every awkward row."""
 
 import hashlib
+import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -646,3 +648,51 @@ def test_every_operator_takes_an_empty_table(spark, documents, vocabulary):
         assert report(none).count() == 0
     assert pieces.report(none, vocabulary).count() == 0
     assert html.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no generated tables")
+def test_lines_find_all_that_brute_force_finds(spark):
+    """Every pair of lines at 0.8 and above on whole sf0.01 ends in one group, and nothing else does."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = graph.numbered(docs.select("doc_id", "text"), "t-recall")
+    gone = {(r.row, n) for r in lines.duplicates(rows).collect() for n in r.lines}
+    table = {r.row: r.text for r in rows.select("row", "doc.text").collect()}
+    places = {}
+    for row in sorted(table):
+        for n, line in enumerate((table[row] or "").split("\n")):
+            norm = re.sub(r"[\W_]+", " ", line.lower()).strip()
+            if norm.count(" ") >= lines.MIN_WORDS - 1:
+                places.setdefault(norm, []).append((row, n))
+    texts = list(places)
+    # Alike lines share at least so many three-letter runs, of those that the longer one has.
+    counts = np.zeros((len(texts), 16384), np.float32)
+    for i, t in enumerate(texts):
+        np.add.at(counts[i], [zlib.crc32(t[k:k + 3].encode()) % 16384 for k in range(len(t) - 2)], 1)
+    size = np.array([len(t) for t in texts])
+    found = []
+    for at in range(0, len(texts), 500):
+        longest = np.maximum(size[at:at + 500, None], size)
+        most = (longest * (1 - lines.SIMILARITY) + 1e-9).astype(int)
+        near = (np.abs(size[at:at + 500, None] - size) <= most) & (
+            counts[at:at + 500] @ counts.T >= longest - 2 - 3 * most)
+        found += [(a + at, b) for a, b in zip(*(x.tolist() for x in np.nonzero(near)), strict=True) if a + at < b]
+    pairs = spark.createDataFrame([(texts[a], texts[b], a, b, int(max(size[a], size[b]) * 0.2 + 1e-9))
+                                   for a, b in found], "x string, y string, a int, b int, most int").repartition(64)
+    alike = pairs.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b").collect()
+    assert len(alike) > 300
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in alike:
+        root[top(a)] = top(b)
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(top(i), []).extend(places[t])
+    assert gone == {p for g in groups.values() for p in g} - {min(g) for g in groups.values()}
