@@ -68,7 +68,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), min_words=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -25,6 +25,7 @@ from eventloom.llm import (
     text,
     urls,
 )
+from eventloom.llm.queries import QUERIES
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -696,3 +697,19 @@ def test_lines_find_all_that_brute_force_finds(spark):
     for i, t in enumerate(texts):
         groups.setdefault(top(i), []).extend(places[t])
     assert gone == {p for g in groups.values() for p in g} - {min(g) for g in groups.values()}
+
+
+def test_short_and_unspaced_lines(documents, spark, tmp_path):
+    rng = random.Random(23)
+    long = "".join(rng.sample([chr(0x4E00 + i) for i in range(3000)], 40))
+    other = "".join(rng.sample([chr(0x6000 + i) for i in range(3000)], 40))
+    near = f"{long[:12]}\u5b57\u5b57\u5b57{long[15:30]}{long[31:]}"
+    rows = [(1, f"Read more\n{long}\n\nok"), (2, f"read  MORE!\n{near}\n\nread mode"), (3, f"{long}\n{other}\nOK"),
+            (4, "\n\n"), (5, None)]
+    documents(rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = {r.doc_id: i for i, r in enumerate(table.select("doc_id").collect())}
+    groups = [[(1, 0), (2, 0)], [(1, 1), (2, 1), (3, 0)], [(1, 3), (3, 2)]]
+    gone = {p for g in groups for p in g} - {min(g, key=lambda p: (order[p[0]], p[1])) for g in groups}
+    got = QUERIES["op10_fuzzy_lines"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, int(n)) for r in got for n in r.removed.split(",") if n} == gone
