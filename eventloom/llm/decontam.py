@@ -35,6 +35,8 @@ from eventloom.llm.text import Hasher, map_texts, runs, slices, split_words, tex
 from eventloom.session import materialise
 
 WINDOW = 10
+#: How far the pipeline lets each word of a window stand from its place.
+SLOP = 2
 SEGMENT_WORDS = 1 << 20
 #: Positions left free between documents, so that no match crosses them.
 GAP = 64
@@ -122,7 +124,8 @@ def _near(lists: list[np.ndarray], slop: int) -> np.ndarray:
     begin = lists[rare].astype(np.int64) - rare
     if slop:
         begin = np.unique((begin[:, None] + np.arange(-slop, slop + 1)).ravel())
-    begin = begin[begin >= 0]
+    # So a window may begin before its document, which must not hang on where that stands.
+    begin = begin[begin >= -slop]
     for j in order[1:]:
         if not len(begin):
             break
@@ -222,10 +225,10 @@ def occurrences(docs: DataFrame, items: DataFrame, key: Column, window: int = WI
         F.coalesce("items", empty).alias("items"), F.coalesce("near_items", empty).alias("near_items"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, all columns, in which no window of an item occurs."""
+def clean(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
+    """The documents, all columns, in which no window of an item occurs, exactly or within ``slop``."""
     keyed = docs.select(F.struct("*").alias("doc"), text_key(F.col("text")).alias("key"))
-    bad = occurrences(docs, items, text_key(F.col("text"))).where("n_hit > 0")
+    bad = occurrences(docs, items, text_key(F.col("text")), slop=slop).where("size(near_items) > 0")
     bad = materialise(bad.select("key").distinct(), "contaminated")
     return keyed.join(bad, "key", "left_anti").select("doc.*")
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from eventloom.llm import (
     decontam,
     graph,
@@ -26,7 +27,7 @@ from eventloom.llm import (
     urls,
 )
 from eventloom.llm.queries import QUERIES
-from tests.llm.conftest import prose
+from tests.llm.conftest import WORDS, prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans(text.UPPER, text.LOWER)
@@ -398,6 +399,42 @@ def test_proximity(spark, documents):
         1: (0, [], ["1"]), 2: (10, ["1"], ["1"]), 3: (0, [], []), 4: (0, [], [])}
 
 
+def test_proximity_by_brute_force(spark, documents, monkeypatch):
+    rng = random.Random(24)
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 100)
+    items = [(i, " ".join(rng.choices(WORDS, k=14))) for i in range(6)]
+    rows = [(1000, "")]
+    for i in range(120):
+        words = words_of(items[i % 6][1])
+        for _ in range(rng.randrange(1, 4)):
+            at, to = rng.randrange(len(words)), rng.randrange(len(words))
+            if rng.random() < 0.5:
+                words.insert(at, "extra")
+            else:
+                words.insert(to, words.pop(at))
+        rows.append((i, " ".join(rng.choices(WORDS, k=rng.randrange(3)) + words)))
+
+    def near(text, item, slop=decontam.SLOP, window=decontam.WINDOW):
+        have, want = words_of(text), words_of(item)
+        return any(all(want[at + j] in have[max(b + j - slop, 0):max(b + j + slop + 1, 0)] for j in range(window))
+                   for at in range(len(want) - window + 1) for b in range(-slop, len(have)))
+
+    expected = {d: sorted(str(i) for i, item in items if near(t, item)) for d, t in rows}
+    assert 10 < sum(map(bool, expected.values())) < 110
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.occurrences(documents(rows), table, F.col("doc_id"), slop=decontam.SLOP).collect()
+    assert {r.key: r.near_items for r in got} == expected
+
+
+def test_pipeline_drops_near_passages(spark, documents, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    moved = "so one two three extra four five six seven eight nine ten eleven more twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents([(1, item), (2, moved), (3, "one two three and something else entirely"), (4, None)])
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4]
+
+
 def test_decontamination_of_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(documents([(1, "a b c")]), none).first().contaminated is False
