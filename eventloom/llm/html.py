@@ -37,8 +37,8 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article.
 OUTSIDE = RAW | set(
-    "head nav footer aside form noscript template svg math canvas object audio video select "
-    "button menu dialog label fieldset datalist option map".split())
+    "head nav footer aside form noscript template svg canvas object audio video select "
+    "button menu dialog fieldset datalist option map annotation annotation-xml".split())
 #: Words of class, id or role that announce something beside the article.
 BESIDE = set(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner banners sponsor "
@@ -48,6 +48,12 @@ BESIDE = set(
     "respond reply replies responses disqus share sharing social related recommended recommendations newsletter "
     "subscribe subscription signup login popup popups modal overlay pagination pager toolbar search "
     "searchbox masthead form skip hidden copyright tags tagcloud toc".split())
+#: Those of them that may as well name a part of the article.  In a marked article, on headings
+#: and paragraphs, and in an id they count only where most of the text stands in links.
+AMBIGUOUS = set(
+    "side aside complementary notice notices notification notifications alert disclaimer discussion "
+    "respond reply replies responses share sharing social related recommended recommendations "
+    "subscription search form skip copyright tags toc menu menus promotion overlay toolbar".split())
 #: Class or id of a page's header that is not marked as such by its tag.
 HEADERS = {"header", "site-header", "page-header", "top-header", "main-header", "global-header"}
 #: Beginnings of class names that speak of something else on the page.
@@ -64,6 +70,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
             "td": {"td", "th"}, "th": {"td", "th"}}
 BORDERS = {"ul", "ol", "dl", "table", "select", "body", "article", "section", "div", "main"}
 WORDS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[^\W_]+")
 
 
 class Node:
@@ -78,26 +85,62 @@ class Node:
 
 
 def _beside(tag: str, attributes: str) -> str:
-    """Why the element is no content: by its ``tag`` or its ``name``; ``header``; or nothing."""
+    """Why the element is no content: by its ``tag`` or its ``name``; ``header``; or nothing.
+
+    ``class`` and ``id``: perhaps, by an ambiguous word there; ``_decide`` settles it.
+    """
+    if tag == "dialog" and any(k.lower() == "open" for k, *_ in ATTRIBUTE.findall(attributes)):
+        return "id"
     if tag in OUTSIDE:
         return "tag"
     if tag == "header":
         return "header"
     if not attributes or tag in ("html", "body", "main"):
         return ""
+    text, perhaps = tag in HEADINGS or tag == "p", ""
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id", "role"):
             own = [x for x in value.split() if not x.startswith(ELSEWHERE)]
-            if not BESIDE.isdisjoint(WORDS.findall(" ".join(own))):
-                return "name"
+            found = BESIDE.intersection(w for x in own for w in _ends(x))
+            if found and not (text and key == "id"):
+                if not found <= AMBIGUOUS:
+                    return "name"
+                perhaps = "id" if text or key == "id" else "class"
             if not HEADERS.isdisjoint(own):
                 return "header"
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             return "tag"
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "tag"
-    return ""
+    return perhaps
+
+
+def _ends(token: str) -> list[str]:
+    """The first and the last part of a class or id, if they are words."""
+    parts = PARTS.findall(token)
+    return [w for x in {*parts[:1], *parts[-1:]} for w in [x.rstrip("0123456789")] if WORDS.fullmatch(w)]
+
+
+def _decide(root: Node) -> None:
+    """Settles what an ambiguous name left open, by the share of the text that stands in links."""
+    order, stack = [], [(root, False)]
+    while stack:
+        x, inside = stack.pop()
+        order.append((x, inside))
+        if x.beside not in ("tag", "name"):
+            inside = inside or x.tag in CONTAINERS
+            stack += [(c, inside) for c in x.children if isinstance(c, Node)]
+    chars: dict[int, tuple[int, int]] = {}
+    for x, inside in reversed(order):
+        total = linked = 0
+        for c in x.children if x.beside not in ("tag", "name") else ():
+            a, b = (len(c.strip()),) * 2 if isinstance(c, str) else chars[id(c)]
+            total, linked = total + a, linked + (0 if isinstance(c, str) else b)
+        chars[id(x)] = total, total if x.tag == "a" else linked
+        if x.beside in ("class", "id"):
+            by_name = x.beside == "class" and not inside
+            x.beside = "name" if by_name or total and linked * 2 >= total else ""
 
 
 def parse(page: str) -> Node:
@@ -146,7 +189,7 @@ def parse(page: str) -> Node:
         if name == "main":  # what holds the main part is not beside it, whatever it is called
             x = node
             while x is not None:
-                x.beside = "" if x.beside == "name" else x.beside
+                x.beside = "" if x.beside in ("name", "class", "id") else x.beside
                 x = x.parent
         node.children.append(child)
         if name in RAW:
@@ -155,6 +198,7 @@ def parse(page: str) -> Node:
         elif name not in VOID:
             node = child
     text(size)
+    _decide(root)
     return root
 
 
@@ -244,8 +288,12 @@ def _chosen(order: list[Node]) -> list[Node]:
 
 
 def _link_list(x: Node) -> bool:
-    """A menu without a name: three or more links and nothing else."""
-    return x.tag in ("ul", "ol", "div", "p") and x.link_tags >= 3 and x.link_chars >= x.chars
+    """A menu without a name: three or more links and nothing else, outside a marked article."""
+    if x.tag not in ("ul", "ol", "div", "p") or x.link_tags < 3 or x.link_chars < x.chars:
+        return False
+    while x is not None and x.tag != "article":
+        x = x.parent
+    return x is None
 
 
 def _blocks(roots: list[Node]) -> list[str]:

@@ -182,6 +182,19 @@ def test_main_text(wrap):
     assert html.main_text(page) == "\n\n".join(PLAIN)
 
 
+def test_names_inside_an_article():
+    inner = ("<h1>Title of the page</h1><h2 id='how-search-works'>How search works</h2><p class='left-side'>Left words</p>"
+             "<section id='discussion'><p>What the results mean, in some words.</p></section>"
+             "<p>So <math><mi>x</mi></math> and <label>a label</label> stay.</p>"
+             "<ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li><li><a href=/3>Three</a></li></ul>"
+             "<dialog open><p>An open dialog.</p></dialog>")
+    outer = "<div class='related'><a href=/9>Another story</a></div><div class='ad'>Buy now!</div>"
+    got = html.main_text(f"<body>{NOISE}<article>{inner}{outer}</article>{COMMENTS}</body>")
+    assert got == "\n\n".join([
+        "Title of the page", "How search works", "Left words", "What the results mean, in some words.",
+        "So x and a label stay.", "One", "Two", "Three", "An open dialog."])
+
+
 @pytest.mark.parametrize("page", [
     None, "", " ", "<", "<p", "<p>", "</p></div>", "<!-- a", "<script>x", "<a href='", "<p class=\"a", "&#x;",
     "<div>" * 3000, "<b><p>" * 500, "<table><tr><td>a<td>b<tr><td>c</table>", "<nav>only menu</nav>"])
