@@ -17,9 +17,9 @@ tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no generated tabl
 
 
 def test_all_are_registered():
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 @tables
