@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,21 +72,36 @@ def _deeper_than(document: Column, levels: int) -> Column:
     return below(V.containers(F.array(document)), levels)
 
 
+def _names_hidden(text: Column) -> Column:
+    """Is there a quoted name of a member that is hidden, or an escape that could spell one?
+
+    It reads text that is no JSON, or not quite, so it goes by quotes and colons alone.
+    """
+    inside = "|".join([re.escape(f) for f in _FRAGMENTS] + [r"\\u"])
+    return text.rlike(rf'(?is)"[^"]*(?:{inside})[^"]*"\s*:')
+
+
 def redact_json(text: Column) -> Column:
-    """JSON text with hidden members replaced, at any depth; other text is returned as it is.
+    """JSON text with hidden members replaced, at any depth, also in a top-level array.
 
     A document is parsed only if a fragment occurs in it, or an escape that could spell
     one.  Objects nested deeper than the unrolled levels go through a Python pass, which
-    sees only those documents.
+    sees only those documents.  Text that cannot be read as JSON (cut off, with a name twice
+    in an object, nested beyond the parser) is hidden whole if a hidden name is in it, and
+    else returned as it is.
     """
     document = F.try_parse_json(text)
     # Letters can only be written as themselves or as a \u escape.
     suspect = text.contains("\\u") | V.bind(F.lower(text), lambda t: contains_any(t, _FRAGMENTS))
-    shallow = V.bind(V.as_map(document), lambda m: F.when(
-        m.isNotNull(), F.to_json(_redact_members(m, UNROLLED_LEVELS))))
+    opened = F.struct(V.as_map(document).alias("members"), V.as_array(document).alias("items"))
+    shallow = V.bind(opened, lambda c: F.when(
+        c["members"].isNotNull(), F.to_json(_redact_members(c["members"], UNROLLED_LEVELS))).when(
+        c["items"].isNotNull(), F.to_json(_redact_inner(document, UNROLLED_LEVELS))))
     deep = suspect & F.coalesce(_deeper_than(document, UNROLLED_LEVELS), F.lit(False))
+    unread = suspect & document.isNull() & _names_hidden(text)
     return (
-        F.when(deep, _redact_deep(F.when(deep, text)))
+        F.when(unread, REDACTED)
+        .when(deep, _redact_deep(F.when(deep, text)))
         .when(suspect, F.coalesce(shallow, text))
         .otherwise(text)
     )
@@ -95,11 +111,13 @@ def redact_json(text: Column) -> Column:
 def _redact_deep(texts: pd.Series) -> pd.Series:
     """The same for documents of any depth, by a list of open members instead of recursion.
 
-    Members come out by name, as parsed JSON writes them everywhere else.
+    Members come out by name, as parsed JSON writes them everywhere else; what does not fit
+    Python's own limits of nesting is hidden whole.
     """
     def one(text: str) -> str:
         document = json.loads(text)
-        opened = [document] if isinstance(document, dict) else []
+        whole = document if isinstance(document, list) else [document]
+        opened = [v for v in whole if isinstance(v, dict)]
         while opened:
             members = opened.pop()
             for name, value in members.items():
@@ -111,4 +129,10 @@ def _redact_deep(texts: pd.Series) -> pd.Series:
                     opened += [v for v in value if isinstance(v, dict)]
         return json.dumps(document, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 
-    return texts.map(one, na_action="ignore")
+    def safe(text: str) -> str:
+        try:
+            return one(text)
+        except RecursionError:
+            return REDACTED
+
+    return texts.map(safe, na_action="ignore")

@@ -8,11 +8,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.model import RETENTION_DAYS, STORE_SCHEMA
+from eventloom.model import RETENTION_DAYS
 from eventloom.operators.normalise import expires_at
 from eventloom.session import materialise, run_folder
-from eventloom.sources import paths
-from eventloom.sources.event_store import read_store, write_partitioned
+from eventloom.sources.event_store import adopt, drop_days, read_store
 
 
 @dataclass(frozen=True)
@@ -58,22 +57,18 @@ def purge_actions(store: DataFrame, now: datetime, days: int = RETENTION_DAYS) -
 
 
 def purge_store(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_DAYS) -> None:
-    """Applies expiry to a store on disk: old day folders go, the boundary day is
-    rewritten from a staged copy, younger days are not read."""
+    """Applies expiry to a store on disk: old days go, the boundary day is rewritten, younger
+    days are not read.
+
+    Ids go with their events, so an event can be stored again after its time.  Files of old
+    days leave the table by name alone, however many commits they lie in, and are deleted.
+    """
     boundary = (now - timedelta(days=days)).date()
-    day = F.col("dt")
+    adopt(spark, path)
     with run_folder(spark, "purge"):
-        for commit in paths.children(spark, path):
-            folder = f"{path}/{commit}"
-            rows = read_store(spark, folder)
-            kept = materialise(purge_expired(rows.where(day == F.lit(boundary)), now, days), "purge")
-            folders = rows.where(day <= F.lit(boundary)).select(
-                "app_id", "dt", paths.folder_of_row().alias("folder")).distinct()
-            left = kept.select("app_id", "dt").distinct()
-            same = folders["app_id"].eqNullSafe(left["app_id"]) & (folders["dt"] == left["dt"])
-            expired = materialise(folders.join(left, same, "left_anti"), "expired")
-            write_partitioned(kept.select(*STORE_SCHEMA.fieldNames()), folder, "overwrite", "dynamic")
-            paths.delete_folders(expired, folder)
+        that_day = read_store(spark, path, chosen=F.col("dt") == F.lit(boundary))
+        kept = materialise(purge_expired(that_day, now, days), "purge")
+        drop_days(spark, path, boundary, kept)
 
 
 def raw_tier(age_days: Column, tiers: Tiers) -> Column:

@@ -9,11 +9,12 @@ from eventloom.functions.cursors import decode_cursor
 from eventloom.plans.paging import next_cursor
 from eventloom.session import materialise
 
-# Most selective first; a request goes by the first id it names.
-PATHS = ("session_id", "user_id", "anonymous_id")
+# A request goes by all the ids it names together: there are eight such paths, that of the app alone too.
+IDS = ("session_id", "user_id", "anonymous_id")
+APP = "app"
 HOUR, SECOND = 3600, 1
-#: Hours with more rows than this, a few pages, are narrowed to seconds.
-HOT_ROWS = 1_000
+#: Hours with more rows than this, some pages, are narrowed to seconds.
+HOT_ROWS = 10_000
 
 REQUEST_COLUMNS = (
     "request_id", "app_id", "start", "end", "types", "names", "user_id", "anonymous_id",
@@ -29,18 +30,17 @@ def query_many(store: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS)
     A request may carry a ``cursor`` and then goes on behind it; one that cannot be read
     gives no rows, as ``validate_requests`` reports it.
 
-    Requests meet events on app, the id they name and the hour.  Row counts per hour
-    tell which hours a request needs to fill its page.  An hour with more rows than a few
-    pages is narrowed to seconds the same way.  So a request that names one id, or none, is
-    paired with a few pages of rows, unless a single second holds more.  One that names
-    several ids is paired with all rows of its first id in its range, as counts by one id do
-    not tell how many rows match both.
+    Requests meet events on app, the ids they name and the hour.  A request that names several
+    ids goes by all of them as one key, so the counts are of rows that match them all, however
+    many rows each id has.  Row counts per hour tell which hours a request needs to fill its
+    page; an hour with more rows than some pages is narrowed to seconds the same way.  So a
+    request is paired with a few pages of rows, unless a single second holds more.
     """
     wanted = materialise(_with_path(requests), "requests")
     facts = wanted.agg(
         F.collect_set("r_path").alias("paths"), F.max("r_limit").alias("limit"),
         F.min("r_start").alias("start"), F.max("r_end").alias("end")).first()
-    events = _by_path(store, sorted(facts.paths) or ["app"], facts.start, facts.end)
+    events = _by_path(store, sorted(facts.paths) or [APP], facts.start, facts.end)
 
     bounds = {"low": _bucket(F.col("r_start"), HOUR), "high": _bucket(F.col("r_end"), HOUR)}
     needed = materialise(
@@ -61,11 +61,9 @@ def query_many(store: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS)
 
 
 def _with_path(requests: DataFrame) -> DataFrame:
-    path, key = F.lit("app"), F.lit("")
-    for name in reversed(PATHS):
-        named = F.col(name).isNotNull()
-        path = F.when(named, name).otherwise(path)
-        key = F.when(named, F.col(name)).otherwise(key)
+    named = F.concat_ws("+", *[F.when(F.col(name).isNotNull(), name) for name in IDS])
+    path = F.when(named == "", APP).otherwise(named)
+    key = F.concat(*[F.coalesce(_key_part(name), F.lit("")) for name in IDS])
     if "cursor" not in requests.columns:
         requests = requests.withColumn("cursor", F.lit(None).cast("string"))
     given = F.coalesce(F.col("cursor") != "", F.lit(False))
@@ -84,6 +82,16 @@ def _with_path(requests: DataFrame) -> DataFrame:
             F.least(F.col("r_end"), F.col("r_after") + microsecond))})
 
 
+def _key_part(name: str) -> Column:
+    """The id behind its length, so that ids put together stay apart."""
+    return F.concat(F.length(name).cast("string"), F.lit(":"), F.col(name))
+
+
+def _path_key(path: str) -> Column:
+    """An event's key on a path; null if it lacks one of the ids."""
+    return F.lit("") if path == APP else F.concat(*[_key_part(name) for name in path.split("+")])
+
+
 def _by_path(store: DataFrame, paths: list[str], start, end) -> DataFrame:
     """Each event once per path in use, within the time any request asks for."""
     rows = store
@@ -93,7 +101,7 @@ def _by_path(store: DataFrame, paths: list[str], start, end) -> DataFrame:
         if "dt" in store.columns:
             rows = rows.where(F.col("dt").between(F.lit(start.date()), F.lit(end.date())))
     entries = [
-        F.struct(F.lit(p).alias("path"), (F.lit("") if p == "app" else F.col(p)).alias("key"))
+        F.struct(F.lit(p).alias("path"), _path_key(p).alias("key"))
         for p in paths
     ]
     keyed = rows.withColumn("__entry", F.explode(F.array(*entries)))
@@ -121,14 +129,6 @@ def _labels_match() -> Column:
     return (types.isNull() | F.array_contains(types, F.col("type"))) & (names.isNull() | named)
 
 
-def _ids_match() -> Column:
-    where = F.lit(True)
-    for name in PATHS:
-        wanted = F.col(f"r_{name}")
-        where = where & (wanted.isNull() | F.coalesce(F.col(name) == wanted, F.lit(False)))
-    return where
-
-
 def _behind_cursor() -> Column:
     ts, at = F.col("occurred_at"), F.col("r_after")
     ident, last = F.col("event_id"), F.col("r_after_id")
@@ -143,8 +143,7 @@ def _needed(
     """The buckets, in the request's order, until the page is full.
 
     Events are counted before they meet the requests.  Only buckets that lie wholly
-    inside the range count towards the page, and only for requests that name no
-    second id, as others may match fewer rows than counted.
+    inside the range count towards the page.
     """
     keys = _renamed(wanted).select("app_id", "path", "key").distinct()
     sizes = (
@@ -163,9 +162,7 @@ def _needed(
     )
     whole = (F.col("bucket") > _bucket(F.col("r_start"), seconds)) & (
         F.col("bucket") < _bucket(F.col("r_end"), seconds))
-    ids = [F.col(f"r_{name}").isNotNull().cast("int") for name in PATHS]
-    single = (ids[0] + ids[1] + ids[2]) <= 1
-    sure = F.when(whole & single, F.col("rows")).otherwise(0)
+    sure = F.when(whole, F.col("rows")).otherwise(0)
     step = F.when(F.col("r_sort") == "asc", F.col("bucket")).otherwise(-F.col("bucket"))
     before = Window.partitionBy(*per).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -180,8 +177,7 @@ def _meet(events: DataFrame, needed: DataFrame) -> DataFrame:
     ts = F.col("occurred_at")
     return (
         events.join(asked, list(MEETING))
-        .where((ts >= F.col("r_start")) & (ts < F.col("r_end")) & _labels_match() & _ids_match()
-               & _behind_cursor())
+        .where((ts >= F.col("r_start")) & (ts < F.col("r_end")) & _labels_match() & _behind_cursor())
         .drop("path", "key", "bucket")
     )
 

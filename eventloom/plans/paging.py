@@ -7,13 +7,15 @@ import binascii
 import json
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.cursors import encode_cursor, sort_key
 from eventloom.model import EVENT_TYPES, EventQuery, Limits
 from eventloom.operators.normalise import to_api
 from eventloom.session import materialise
+from eventloom.sources import versions
+from eventloom.sources.event_store import read_store
 
 
 def check_query(q: EventQuery, limits: Limits | None = None) -> None:
@@ -178,3 +180,47 @@ def page_index(walk: DataFrame, page_size: int) -> DataFrame:
             F.when(F.col("page") < F.col("last_page"), F.col("closing")).alias("next_cursor"),
         )
     )
+
+
+def page_at(
+    spark: SparkSession, path: str, app_id: str, page: int, page_size: int, sort: str = "desc",
+) -> DataFrame:
+    """Page ``page`` (from 0) of an app, without ranking the app or walking there by cursors.
+
+    The table of files says how many rows each day of the app has; the day that holds the page
+    is counted by the hour, and only the hours that hold it are ordered.  So what is read is the
+    files of one day or two, the wide columns of one hour or two.  Rows of days and hours that
+    come before are only counted, by at most one row a day and an hour on the driver.
+    """
+    first, up = page * page_size, sort == "asc"
+    held = versions.files(spark, path).where(
+        F.col("live") & (F.col("kind") == versions.EVENTS) & (F.col("app_id") == app_id))
+    days = held.groupBy("dt").agg(F.sum("rows").alias("n")).collect()
+    before, days = _spans({r.dt: r.n for r in days}, first, page_size, up)
+    rows = read_store(spark, path, chosen=(F.col("app_id") == app_id) & F.col("dt").isin(days))
+    hour = F.date_trunc("hour", F.col("occurred_at")).cast("timestamp_ntz")
+    counts = rows.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n")).collect()
+    skipped, hours = _spans({r.hour: r.n for r in counts}, first - before, page_size, up)
+    if not hours:
+        rows = rows.limit(0)
+    else:
+        rows = rows.where((F.col("occurred_at") >= _at(min(hours)))
+                          & (F.col("occurred_at") < _at(max(hours) + timedelta(hours=1))))
+    skip = first - before - skipped
+    top = rows.orderBy(*ordering(sort)).limit(skip + page_size)
+    numbered = top.withColumn("__row", F.row_number().over(
+        Window.partitionBy("app_id").orderBy(*ordering(sort))))
+    return numbered.where(F.col("__row") > skip).withColumns({
+        "page": F.lit(page).cast("bigint"), "pos": (F.col("__row") - skip).cast("int")}).drop("__row")
+
+
+def _spans(counts: dict, first: int, size: int, up: bool) -> tuple[int, list]:
+    """The spans that hold rows ``first`` up to ``first + size``, and how many rows come before them."""
+    before, skipped, found = 0, 0, []
+    for span in sorted(counts, reverse=not up):
+        if before + counts[span] <= first:
+            skipped = before + counts[span]
+        elif before < first + size:
+            found.append(span)
+        before += counts[span]
+    return skipped, found

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,39 @@ def children(spark: SparkSession, path: str) -> list[str]:
     fs, target = _file_system(spark, path)
     names = [status.getPath().getName() for status in fs.listStatus(target)]
     return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
+def plain_path(spark: SparkSession, path: str) -> str:
+    """The path without scheme and host, absolute."""
+    fs, target = _file_system(spark, path)
+    return str(fs.makeQualified(target).toUri().getPath())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, target = _file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that must not exist yet; it appears whole, by a rename."""
+    fs, target = _file_system(spark, path)
+    jvm = spark._jvm
+    draft = jvm.org.apache.hadoop.fs.Path(f"{target.getParent()}/.{target.getName()}-{uuid.uuid4().hex}")
+    fs.mkdirs(target.getParent())
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(target), options)
+    except Py4JJavaError as problem:
+        fs.delete(draft, False)
+        if fs.exists(target):
+            raise FileExistsError(path) from problem
+        raise

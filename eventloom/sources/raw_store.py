@@ -58,15 +58,15 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -> None:
     """Adds batches whose ``batch_id`` is not there yet, on whatever day it came before.
 
-    Known ids have a table of their own beside the batches, of which only the touched parts
-    are read; bodies are not shuffled for the check.  With ``commit_id`` the batches land in a
+    Known ids have a table of their own beside the batches, of which only row groups that may
+    hold one are read; bodies are not shuffled for the check.  With ``commit_id`` the batches land in a
     folder of their own, which a retry replaces as a whole and does not count as known.
     """
     spark = raw.sparkSession
     ids = id_table.table_of(path)
     with run_folder(spark, "raw"):
-        if not paths.exists(spark, ids) and paths.exists(spark, path):
-            id_table.add_ids(read_raw(spark, path), ids, "batch_id", id_table.ALL)
+        if not id_table.exists(spark, ids) and paths.exists(spark, path):
+            id_table.add_ids(_ids_of(read_raw(spark, path)), ids, "batch_id", uuid.uuid4().hex)
         known = id_table.read_ids(spark, ids, "batch_id", commit_id)
         known = materialise(id_table.already_known(raw, known, "batch_id"), "known")
         new = once_per_key(raw, "batch_id", [F.col("received_at")])
@@ -83,7 +83,11 @@ def write_raw_batches(raw: DataFrame, path: str, commit_id: str | None = None) -
             .partitionBy(*RAW_PARTITIONS).json(target)
         )
         written = new if commit_id is None else read_raw(spark, target)
-        id_table.add_ids(written, ids, "batch_id", commit_id or uuid.uuid4().hex)
+        id_table.add_ids(_ids_of(written), ids, "batch_id", commit_id or uuid.uuid4().hex)
+
+
+def _ids_of(raw: DataFrame) -> DataFrame:
+    return raw.select("batch_id", F.col("received_at").alias("seen"), F.to_date("received_at").alias("dt"))
 
 
 def raw_partitions_hive(raw: DataFrame) -> DataFrame:

@@ -246,6 +246,15 @@ SQL["page_index"] = f"""{BASE}, {WALK},
     (page + 1) * 50 < total AS has_more,
     CASE WHEN (page + 1) * 50 < total THEN closing END AS next_cursor FROM p"""
 
+SQL["query_many_ids"] = f"""{BASE}, g AS (
+  SELECT app_id || '/' || user_id || '/' || session_id AS request_id, event_id,
+    row_number() OVER (PARTITION BY app_id, user_id, session_id ORDER BY occurred_at DESC, event_id DESC) AS pos,
+    count(*) OVER (PARTITION BY app_id, user_id, session_id) AS n
+  FROM c WHERE user_id IS NOT NULL AND session_id IS NOT NULL)
+  SELECT request_id, CAST(pos AS INTEGER) AS pos, event_id, n > 2 AS has_more FROM g WHERE pos <= 2"""
+SQL["page_lookup"] = f"""{BASE}, {WALK}
+  SELECT app_id, rn // 25 AS page, CAST(rn % 25 + 1 AS INTEGER) AS pos, event_id FROM w WHERE rn // 25 IN (0, 3)"""
+
 SQL["with_cursor"] = f"{BASE} SELECT event_id, {cursor()} AS cursor FROM c"
 SQL["decode_cursors"] = f"""{BASE}
   SELECT n AS row_no, n % 6 IN (0, 1, 4) AS valid,
@@ -563,6 +572,19 @@ SQL["purge_store"] = f"""{BASE}
   SELECT event_id, occurred_at FROM c WHERE epoch_us(occurred_at) // 1000000 + 340 * 86400
     > epoch_us(TIMESTAMP '2024-12-31 07:30:00') // 1000000"""
 
+SQL["compact_store"] = f"""{BASE}
+  SELECT app_id, event_id, moment AS occurred_at, strftime(moment, '%Y-%m-%d') AS dt FROM (
+    SELECT app_id, event_id, occurred_at AS moment FROM c
+    UNION ALL SELECT app_id, event_id, occurred_at + INTERVAL 1 HOUR FROM c
+    WHERE app_id = 'app1' AND type = 'page')"""
+SQL["purge_then_append"] = f"""{BASE}
+  SELECT event_id, CASE WHEN epoch_us(occurred_at) // 1000000 + 340 * 86400
+      > epoch_us(TIMESTAMP '2024-12-31 07:30:00') // 1000000 THEN name ELSE 'again' END AS name,
+    strftime(occurred_at, '%Y-%m-%d') AS dt FROM c"""
+SQL["store_version"] = f"""{BASE}
+  SELECT 'old' AS reader, event_id, name FROM c
+  UNION ALL SELECT 'new', event_id, CASE WHEN app_id = 'app1' THEN 'changed' ELSE name END FROM c"""
+
 
 def tiers(names: tuple[str, str, str], second: str, third: str) -> str:
     age = "date_diff('day', CAST(received_at AS DATE), DATE '2024-04-14')"

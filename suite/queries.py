@@ -15,7 +15,7 @@ from eventloom.model import JSON_TIME, STORE_SCHEMA, EventQuery, Limits
 from eventloom.operators import dedup, health, normalise, parsing, processing, retention, validation
 from eventloom.plans import many, paging, requests
 from eventloom.session import materialise, prepare, scratch
-from eventloom.sources import event_store, raw_store
+from eventloom.sources import event_store, raw_store, versions
 from eventloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,21 @@ def raw_requests(spark, sf_dir) -> DataFrame:
     )
 
 
+@query
+def query_many_ids(spark, sf_dir):
+    """Requests that each name a user and a session, both as the table has them."""
+    rows = store(spark, sf_dir)
+    pairs = rows.where("user_id IS NOT NULL AND session_id IS NOT NULL").groupBy(
+        "app_id", "user_id", "session_id").agg(F.min("occurred_at").alias("start"), F.max("occurred_at").alias("last"))
+    requests = pairs.select(
+        F.concat_ws("/", "app_id", "user_id", "session_id").alias("request_id"), "app_id", "start",
+        (F.col("last") + F.expr("INTERVAL 1 SECOND")).alias("end"),
+        F.lit(None).cast("array<string>").alias("types"), F.lit(None).cast("array<string>").alias("names"),
+        "user_id", F.lit(None).cast("string").alias("anonymous_id"), "session_id",
+        F.lit(2).alias("limit"), F.lit("desc").alias("sort"))
+    return many.query_many(rows, requests).select("request_id", "pos", "event_id", "has_more")
+
+
 @query
 def validate_requests(spark, sf_dir):
     checked = requests.validate_requests(raw_requests(spark, sf_dir), at(datetime(2024, 1, 31)))
@@ -738,6 +753,73 @@ def stream_compact_upsert(spark, sf_dir):
         "event_id", "app_id", "name", F.date_format("dt", "yyyy-MM-dd").alias("dt"))
 
 
+def _two_commits(spark, sf_dir) -> str:
+    """A store of two commits, the second one delivered twice."""
+    path = scratch(spark, "store")
+    rows = in_store_form(layout_input(spark, sf_dir))
+    event_store.append_events(rows.where(F.col("occurred_at") < at(STORE_CUT)), path, "a")
+    event_store.append_events(rows, path, "b")
+    event_store.append_events(rows, path, "b")
+    return path
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    return rows.select("app_id", "event_id", "occurred_at", F.date_format("dt", "yyyy-MM-dd").alias("dt"))
+
+
+@query
+def compact_store(spark, sf_dir):
+    """Merged, then app1's page events a second time at another hour, then merged again: the store
+    keeps every version of its key."""
+    path = _two_commits(spark, sf_dir)
+    event_store.compact_in_place(spark, path)
+    later = F.col("occurred_at") + F.expr("INTERVAL 1 HOUR")
+    moved = event_store.read_store(spark, path).where("app_id = 'app1' AND type = 'page'").withColumns(
+        {"occurred_at": later, "dt": F.to_date(later)})
+    event_store.upsert_into(materialise(moved, "moved"), path)
+    event_store.merge_files(spark, path, 2, None)
+    event_store.compact_in_place(spark, path)
+    return _kept(event_store.read_store(spark, path))
+
+
+@query
+def purge_then_append(spark, sf_dir):
+    """What has expired can be stored again; what has not is known."""
+    path = _two_commits(spark, sf_dir)
+    retention.purge_store(spark, path, datetime(2024, 12, 31, 7, 30), 340)
+    rows = in_store_form(layout_input(spark, sf_dir)).withColumn("name", F.lit("again"))
+    event_store.append_events(rows, path, "c")
+    return event_store.read_store(spark, path).select(
+        "event_id", "name", F.date_format("dt", "yyyy-MM-dd").alias("dt"))
+
+
+@query
+def store_version(spark, sf_dir):
+    """A reader of the version before an upsert still sees the rows of that version."""
+    path = _two_commits(spark, sf_dir)
+    before = versions.latest(spark, path)
+    changes = event_store.read_store(spark, path).where("app_id = 'app1'").withColumn("name", F.lit("changed"))
+    event_store.upsert_into(materialise(changes, "changes"), path)
+    versions.vacuum(spark, path)
+    rows = event_store.read_store(spark, path).withColumn("reader", F.lit("new")).unionByName(
+        event_store.read_store(spark, path, version=before).withColumn("reader", F.lit("old")))
+    return rows.select("reader", "event_id", "name")
+
+
+@query
+def page_lookup(spark, sf_dir):
+    """Pages 0 and 3 of every app, each found by the counts of the store's files."""
+    path = _two_commits(spark, sf_dir)
+    out = None
+    for app in sorted(r.app_id for r in versions.files(spark, path).where(
+            "live AND kind = 'events'").select("app_id").distinct().collect()):
+        for page in (0, 3):
+            rows = paging.page_at(spark, path, app, page, 25)
+            rows = rows.select("app_id", "page", "pos", "event_id")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def purge_expired(spark, sf_dir):
     return retention.purge_expired(store(spark, sf_dir), NOW, 340).select(

@@ -77,6 +77,30 @@ def test_redact_any_depth_by_brute_force(spark):
     assert got == {i: hidden(d) for i, d in enumerate(documents)}
 
 
+def test_redact_leaves_no_way_round(spark):
+    """Text that only looks like JSON, or only a lenient parser reads, shows nothing hidden."""
+    depth = 1200
+    texts = [
+        '{"password":"hunter2","password":"x"}',
+        '{"a":{"token":"hunter2","b":1,"token":2}}',
+        '{"a":1,"list":[{"x":{"password":"hunter2"}}],"a":2}',
+        '{"user":{"password":"hunter2","na',
+        '{"a":[1,2,{"pass\\u0077ord":"hunter2"',
+        '{"a":' * depth + '{"password":"hunter2"}' + "}" * depth,
+        '[{"password":"hunter2","n":1},{"n":[{"ssn":"hunter2"}]}]',
+        '[{"a":{"b":{"c":{"d":{"e":{"password":"hunter2"}}}}}},3]',
+        '{"' + "x" * 50_000 + '":1,"secret" : "hunter2"',
+    ]
+    kept = ['{"a":1,"a":2}', "a shipment: the token is lost", '[1,2', '["password","token"]', '"password"', "", "{"]
+    df = spark.createDataFrame(list(enumerate(texts + kept)), "i int, d string")
+    got = {r.i: r.d for r in normalise.redact(df, "d").collect()}
+    assert not [t for t in map(got.get, range(len(texts))) if "hunter2" in t]
+    assert got[0] == got[5] == "[REDACTED]"
+    assert json.loads(got[6]) == [{"password": "[REDACTED]", "n": 1}, {"n": [{"ssn": "[REDACTED]"}]}]
+    assert json.loads(got[7])[1] == 3
+    assert [got[len(texts) + i] for i in range(len(kept))] == kept
+
+
 def test_cursor_round_trip(spark):
     made = spark.range(200).select(
         F.concat(F.lit("app-ü"), F.col("id")).alias("app"),
