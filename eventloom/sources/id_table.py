@@ -60,7 +60,7 @@ def write_files(ids: DataFrame, root: str, key: str, commit_id: str) -> DataFram
     large = known.groupBy("dt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_IDS).collect()
     buckets = F.lit(1).cast("long")
     for day in large:
-        more = 1 << (day.n - 1).bit_length() - BUCKET_IDS.bit_length() + 1
+        more = 1 << (-(-day.n // BUCKET_IDS) - 1).bit_length()
         buckets = F.when(F.col("dt").eqNullSafe(F.lit(day.dt)), F.lit(more).cast("long")).otherwise(buckets)
     rows = known.groupBy(key, "dt").agg(F.min("seen").alias("seen")).withColumn("buckets", buckets)
     rows = rows.withColumn(BUCKET, bucket_of(F.col(key), F.col("buckets")))
