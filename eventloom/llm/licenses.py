@@ -15,7 +15,8 @@ text is one hash per word, and alignments only around markers; a part is at most
 templates long, so long texts cost no more than their length.
 
 Defined results: a null or empty text has no licenses; several parts of one license are
-several spans; of parts that overlap, the better covered stays (ties: the earlier); rows are
+several spans; of parts that overlap, the one with most template words stays (ties: the shorter,
+then the earlier, then by name); rows are
 independent, so repeated rows and ids get a row each.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -105,9 +107,12 @@ class _Template:
     def __init__(self, name: str, words: list[int], spread: Counter, coverage: float) -> None:
         self.name, self.words = name, words
         self.needed = coverage * len(words)
+        self.counts = Counter(words)
+        #: Words that a match spans at most.
+        self.reach = len(words) + len(words) // 2
         # Rarest among the templates first, until no match can do without all of them.
         self.markers: set[int] = set()
-        missed, count = 0, Counter(words)
+        missed, count = 0, self.counts
         for w in sorted(count, key=lambda w: (spread[w], count[w], words.index(w))):
             if missed > len(words) - self.needed:
                 break
@@ -148,7 +153,7 @@ def matches(words: list[int], templates: list[_Template],
             todo = [(a, b)]
             while todo:
                 a, b = todo.pop()
-                if b - a < t.needed:
+                if not _may_match(words[a:b], t):
                     continue
                 pairs = align(words[a:b], t.words)
                 span = _tightest(pairs, t)
@@ -161,7 +166,9 @@ def matches(words: list[int], templates: list[_Template],
                 first, last, covered = span
                 found.append((t.name, covered / len(t.words), a + first, a + last))
                 todo += [(a, a + first), (a + last + 1, b)]
-    found = sorted(set(found), key=lambda m: (-m[1] * (m[3] - m[2] + 1), m[2], m[0]))
+    # The template with most words found wins, so a whole one wins over a part of it.
+    size = {t.name: len(t.words) for t in templates}
+    found = sorted(set(found), key=lambda m: (-round(m[1] * size[m[0]]), m[3] - m[2], m[2], m[0]))
     kept: list[tuple[str, float, int, int]] = []
     for m in found:
         if all(m[3] < k[2] or k[3] < m[2] for k in kept):
@@ -169,9 +176,25 @@ def matches(words: list[int], templates: list[_Template],
     return sorted(kept, key=lambda m: m[2])
 
 
+def _may_match(words: list[int], t: _Template) -> bool:
+    """Whether enough of the template's words stand close enough together, in whatever order.
+
+    Two bounds that no alignment can beat: the template's words that are there at all, each as
+    often as it is in both; and its words within the longest span of a match.
+    """
+    if len(words) < t.needed:
+        return False
+    there = Counter(w for w in words if w in t.counts)
+    if sum(min(n, t.counts[w]) for w, n in there.items()) < t.needed:
+        return False
+    sums = [0, *accumulate(w in t.counts for w in words)]
+    reach = min(t.reach, len(words))
+    return max(sums[i + reach] - sums[i] for i in range(len(words) - reach + 1)) >= t.needed
+
+
 def _tightest(pairs: list[tuple[int, int]], t: _Template) -> tuple[int, int, int] | None:
     """First word, last word and aligned words of the alignment without far-off ends."""
-    reach = len(t.words) + len(t.words) // 2
+    reach = t.reach
     while pairs and pairs[-1][0] - pairs[0][0] >= reach:
         # The end that is farther from its neighbour goes.
         pairs = pairs[1:] if pairs[1][0] - pairs[0][0] >= pairs[-1][0] - pairs[-2][0] else pairs[:-1]
