@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,34 +81,48 @@ def _names_hidden(text: Column) -> Column:
     return text.rlike(rf'(?is)"[^"]*(?:{inside})[^"]*"\s*:')
 
 
-def redact_json(text: Column) -> Column:
-    """JSON text with hidden members replaced, at any depth, also in a top-level array.
+def redaction(text: Column) -> Column:
+    """(out, deep): the text with hidden members replaced, or that it needs ``redact_deep``.
 
-    A document is parsed only if a fragment occurs in it, or an escape that could spell
-    one.  Objects nested deeper than the unrolled levels go through a Python pass, which
-    sees only those documents.  Text that cannot be read as JSON (cut off, with a name twice
-    in an object, nested beyond the parser) is hidden whole if a hidden name is in it, and
-    else returned as it is.
+    A document is parsed once, and only if a fragment occurs in it, or an escape that could
+    spell one.  Text that cannot be read as JSON (cut off, with a name twice in an object, nested
+    beyond the parser) is hidden whole if a hidden name is in it, and else stays as it is.
     """
-    document = F.try_parse_json(text)
     # Letters can only be written as themselves or as a \u escape.
     suspect = text.contains("\\u") | V.bind(F.lower(text), lambda t: contains_any(t, _FRAGMENTS))
-    opened = F.struct(V.as_map(document).alias("members"), V.as_array(document).alias("items"))
-    shallow = V.bind(opened, lambda c: F.when(
-        c["members"].isNotNull(), F.to_json(_redact_members(c["members"], UNROLLED_LEVELS))).when(
-        c["items"].isNotNull(), F.to_json(_redact_inner(document, UNROLLED_LEVELS))))
-    deep = suspect & F.coalesce(_deeper_than(document, UNROLLED_LEVELS), F.lit(False))
-    unread = suspect & document.isNull() & _names_hidden(text)
-    return (
-        F.when(unread, REDACTED)
-        .when(deep, _redact_deep(F.when(deep, text)))
-        .when(suspect, F.coalesce(shallow, text))
-        .otherwise(text)
-    )
+
+    def told(out: Column, deep: Column | None = None) -> Column:
+        return F.struct(out.cast("string").alias("out"),
+                        (F.lit(False) if deep is None else deep).alias("deep"))
+
+    def opened(document: Column) -> Column:
+        def replaced(c: Column) -> Column:
+            return F.when(c["members"].isNotNull(), F.to_json(_redact_members(c["members"], UNROLLED_LEVELS))) \
+                .when(c["items"].isNotNull(), F.to_json(_redact_inner(document, UNROLLED_LEVELS))).otherwise(text)
+
+        parts = F.struct(V.as_map(document).alias("members"), V.as_array(document).alias("items"))
+        return F.when(document.isNull(), told(F.when(_names_hidden(text), F.lit(REDACTED)).otherwise(text))) \
+            .when(_deeper_than(document, UNROLLED_LEVELS), told(F.lit(None), F.lit(True))) \
+            .otherwise(told(V.bind(parts, replaced)))
+
+    return F.when(suspect, V.bind(F.try_parse_json(text), opened)).otherwise(told(text))
+
+
+def redact_json(df: DataFrame, column: str) -> DataFrame:
+    """JSON text with hidden members replaced, at any depth, also in a top-level array.
+
+    Objects nested deeper than the unrolled levels go through a Python pass, which sees only
+    those documents.
+    """
+    text, work = F.col(column), "__redaction"
+    found = df.withColumn(work, redaction(text))
+    deep = F.col(f"{work}.deep")
+    return found.withColumn(column, F.when(deep, redact_deep(F.when(deep, text))).otherwise(F.col(f"{work}.out"))) \
+        .drop(work)
 
 
 @F.pandas_udf(T.StringType())
-def _redact_deep(texts: pd.Series) -> pd.Series:
+def redact_deep(texts: pd.Series) -> pd.Series:
     """The same for documents of any depth, by a list of open members instead of recursion.
 
     Members come out by name, as parsed JSON writes them everywhere else; what does not fit

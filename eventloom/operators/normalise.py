@@ -112,4 +112,4 @@ def ttl_remaining(occurred_at: Column, now: Column, days: int = RETENTION_DAYS)
 
 def redact(df: DataFrame, column: str) -> DataFrame:
     """Hides members with telling names in a JSON column, however deep they lie."""
-    return df.withColumn(column, redact_json(F.col(column)))
+    return redact_json(df, column)
