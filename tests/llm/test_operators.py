@@ -653,12 +653,12 @@ def test_lines_by_brute_force(documents):
              for i in range(20)]
     rows += [(200, f"{' '.join(near)}\nshort line\nshort line"), (201, "short line"), (100, passage), (None, passage)]
     table = documents(rows, extra=True)
-    got = lines.report(table).collect()
+    got = lines.report(table, min_words=5).collect()
     assert len(got) == len(rows)
     # The passage stays once, whoever has it; short and unique lines stay everywhere.
     removed = sum(r.n_removed for r in got)
     assert removed in (22, 21)
-    left = lines.dedup(table)
+    left = lines.dedup(table, min_words=5)
     # Rows that were nothing but the passage go, all but the one that keeps it.
     gone = sum(r.n_removed == r.n_lines and r.n_lines > 0 for r in got)
     assert left.columns == table.columns and left.count() == len(rows) - gone and gone >= 1
@@ -674,8 +674,9 @@ def test_simhash_by_brute_force(spark, documents):
     rng = random.Random(19)
     rows = [(i, prose(rng, rng.randrange(5, 30))) for i in range(30)] + [(99, "a b c d e f a b")]
     numbered = graph.numbered(documents(rows).select("doc_id", "text"), "t-lines")
-    occurrences, _ = lines._classes(numbered)
-    got = {r.doc_id: r.simhash for r in occurrences.join(
+    shift = F.lit(1 << 32).cast("decimal(10,0)")
+    first = lines._classes(numbered).withColumn("row", F.floor(F.col("place") / shift).cast("long"))
+    got = {r.doc_id: r.simhash for r in first.join(
         numbered.select("row", "doc.doc_id"), "row").collect()}
     all_words = sorted({w for _, t in rows for w in t.split()})
     hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in all_words], "w string")
@@ -709,13 +710,13 @@ def test_lines_find_all_that_brute_force_finds(spark):
     """Every pair of lines at 0.8 and above on whole sf0.01 ends in one group, and nothing else does."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = graph.numbered(docs.select("doc_id", "text"), "t-recall")
-    gone = {(r.row, n) for r in lines.duplicates(rows).collect() for n in r.lines}
+    gone = {(r.row, n) for r in lines.duplicates(rows, lines.FUZZY_WORDS).collect() for n in r.lines}
     table = {r.row: r.text for r in rows.select("row", "doc.text").collect()}
     places = {}
     for row in sorted(table):
         for n, line in enumerate((table[row] or "").split("\n")):
             norm = re.sub(r"[\W_]+", " ", line.lower()).strip()
-            if norm.count(" ") >= lines.MIN_WORDS - 1:
+            if norm.count(" ") >= lines.FUZZY_WORDS - 1:
                 places.setdefault(norm, []).append((row, n))
     texts = list(places)
     # Alike lines share at least so many three-letter runs, of those that the longer one has.
