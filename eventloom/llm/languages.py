@@ -13,13 +13,12 @@ all that reaches the driver.  Prediction is one pass without a shuffle.  A text'
 is its own bytes.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; if nothing was
-learned every text is ``und``; equal shares go to the language first in the alphabet; repeated
+learned every text is ``und``; more than ``MOST_LANGUAGES`` languages are an error; equal shares go to the language first in the alphabet; repeated
 rows count as often as they occur; a null ``lang`` or text teaches nothing.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ PENALTY, STEPS, TOLERANCE = 0.5, 30, 1e-4
 #: Two models of 64 languages fit into 32 MB; more languages than that are refused.
 MOST_LANGUAGES = 1024
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def _letters() -> np.ndarray:
@@ -105,8 +103,9 @@ def _fit(p: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, f
     return share, float(n @ np.log(p @ share))
 
 
-def mixture(slots: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """Share of each language in a text, zero for those outside the chosen set."""
+def mixture(slots: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, float]:
+    """Share of each language in a text, zero for those outside the chosen set, and how well
+    they explain it: log-likelihood per n-gram above that of slots drawn evenly."""
     counts = np.bincount(slots, minlength=len(model))
     slot = np.flatnonzero(counts)
     n = counts[slot].astype(np.float64)
@@ -125,7 +124,7 @@ def mixture(slots: np.ndarray, model: np.ndarray) -> np.ndarray:
         chosen, share, fit = chosen[rest], new, left
     out = np.zeros(model.shape[1])
     out[chosen] = share
-    return out
+    return out, fit / n.sum() + BITS * float(np.log(2))
 
 
 def _predict(languages: list[str], model: np.ndarray):
@@ -133,32 +132,35 @@ def _predict(languages: list[str], model: np.ndarray):
         for piece in (p for b in batches for p in slices(b, "text")):
             data, offsets = buffers(piece.column("text"))
             texts = piece.column("text").to_pylist()
-            names, scores, shares = [], [], []
+            names, scores, shares, fits = [], [], [], []
             for i, text in enumerate(texts):
-                if not languages or not text or not LETTER.search(text):
+                if not languages or not text or not any(map(str.isalpha, text)):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     shares.append({})
+                    fits.append(None)
                     continue
-                share = mixture(grams(data[offsets[i]:offsets[i + 1]]), model)
+                share, fit = mixture(grams(data[offsets[i]:offsets[i + 1]]), model)
                 best = int(np.argmax(share))
                 names.append(languages[best])
                 scores.append(min(1.0, float(share[best])))
                 shares.append({languages[k]: float(share[k]) for k in np.flatnonzero(share)})
+                fits.append(fit)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc"), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64()))],
-                names=["doc", "lang_pred", "score", "shares"])
+                 pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64())),
+                 pa.array(fits, pa.float64())],
+                names=["doc", "lang_pred", "score", "shares", "fit"])
 
     return task
 
 
 def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: Column) -> DataFrame:
-    """doc (as ``keep`` says), lang_pred, score (its share) and the shares of the chosen set."""
+    """doc (as ``keep`` says), lang_pred, score (its share), the shares of the chosen set, and fit."""
     narrow = docs.select(keep.alias("doc"), "text")
     kind = narrow.schema["doc"].dataType.simpleString()
     return map_texts(narrow, _predict(languages, model),
-        f"doc {kind}, lang_pred string, score double, shares map<string,double>")
+        f"doc {kind}, lang_pred string, score double, shares map<string,double>, fit double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,11 +176,12 @@ def report(docs: DataFrame) -> DataFrame:
                        "lang_pred", "score", "shares")
 
 
-def keep_known(docs: DataFrame, least_share: float = 0.4) -> DataFrame:
-    """The documents, all columns, that are mainly in one known language.
+def keep_known(docs: DataFrame, least_fit: float = 0.0) -> DataFrame:
+    """The documents, all columns, that known languages explain, alone or mixed in any shares.
 
-    Rejected: ``und``, and texts in which no language has ``least_share``.
+    Rejected: ``und``, and texts that the chosen languages explain no better than n-grams drawn
+    evenly from all slots would be, by ``least_fit`` a gram.
     """
     languages, model = train(docs.where(~held_out(F.col("doc_id"))))
     told = predict(docs, languages, model, F.struct("*"))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share)).select("doc.*")
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("fit") > least_fit)).select("doc.*")

@@ -347,6 +347,20 @@ def test_languages_on_held_out_texts(documents):
     assert languages.keep_known(table).count() == len(rows) + len(mixed)
 
 
+def test_known_languages_in_any_shares_stay(documents):
+    rng = random.Random(25)
+    rows = [(i, speech(rng, lang, 30), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    even = [(1000 + i, " ".join(speech(rng, lang, 30) for lang in ("aa", "bb", "cc")), None) for i in range(5)]
+    odd = [(2000, "\u00bd \u00b2 12", None), (2001, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)), None)]
+    table = documents(rows + even + odd)
+    got = {r.doc_id: r for r in languages.report(table).collect()}
+    assert all(got[d].score < 0.45 and len(got[d].shares) == 3 for d, *_ in even)
+    # Fractions and raised digits are no letters; a script nobody taught is named, but not kept.
+    assert got[2000].lang_pred == "und" and got[2001].lang_pred != "und"
+    left = {r.doc_id for r in languages.keep_known(table).collect()}
+    assert left == {d for d, *_ in rows + even}
+
+
 def test_languages_without_training(documents):
     got = languages.report(documents([(1, "some text", None), (None, None, None)])).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * 2
