@@ -35,7 +35,7 @@ from eventloom.llm.text import Hasher, map_texts, runs, slices, split_words, tex
 from eventloom.session import materialise
 
 WINDOW = 10
-#: How far the pipeline lets each word of a window stand from its place.
+#: How far the query and the pipeline let each word of a window stand from its place.
 SLOP = 2
 SEGMENT_WORDS = 1 << 20
 #: Positions left free between documents, so that no match crosses them.
@@ -234,10 +234,12 @@ def clean(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The per-document digest of exact hits; ``occurrences`` also gives the near ones."""
-    found = occurrences(docs, items, F.col("doc_id"))
+    """The per-document digest of exact hits, and of the items within ``SLOP`` (exact ones too)."""
+    found = occurrences(docs, items, F.col("doc_id"), slop=SLOP)
     return found.select(
         F.col("key").alias("doc_id"), "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"))
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"))

@@ -116,12 +116,34 @@ spots AS (
 found AS (SELECT r, i, s.k, item FROM spots s JOIN wins USING (k, win)),
 hits AS (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
-named AS (SELECT r, list_sort(list(DISTINCT item)) AS ids FROM found GROUP BY r)
+named AS (SELECT r, list_sort(list(DISTINCT item)) AS ids FROM found GROUP BY r),
+spans AS (
+  SELECT DISTINCT item, k, w[i:i + k - 1] AS win
+  FROM (SELECT item, w, least(len(w), 10) AS k,
+               unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+        FROM items WHERE len(w) > 0)),
+places AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+counted AS (SELECT word, count(*) AS n FROM places GROUP BY word),
+anchors AS (
+  SELECT item, k, win, arg_min(j, n) AS j
+  FROM (SELECT item, k, win, unnest(win) AS word, unnest(range(1, k + 1)) AS j FROM spans)
+  JOIN counted USING (word) GROUP BY item, k, win HAVING count(*) = k),
+begun AS (
+  SELECT DISTINCT r, item, k, win, p - j + d AS b
+  FROM anchors JOIN places ON word = win[j], (SELECT unnest(range(-2, 3)) AS d)),
+close AS (
+  SELECT r, list_sort(list(DISTINCT item)) AS near
+  FROM begun JOIN docs USING (r)
+  WHERE len(list_filter(range(1, k + 1), lambda m: list_contains(
+    w[greatest(b + m - 2, 1):greatest(b + m + 2, 0)], win[m]))) = k
+  GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit,
        CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
-       coalesce(n, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+       coalesce(n, 0) > 0 AS contaminated,
+       CAST(coalesce(len(near), 0) AS BIGINT) AS n_near_items,
+       sha256(coalesce(array_to_string(near, ','), '')) AS near_items_sha256
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r) LEFT JOIN close USING (r)
 """
 
 OP13 = r"""

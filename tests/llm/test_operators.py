@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from eventloom.llm import (
     text,
     urls,
 )
-from eventloom.llm.queries import QUERIES
+from eventloom.llm.queries import QUERIES, SQL
 from tests.llm.conftest import WORDS, prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -451,6 +453,17 @@ def test_proximity_by_brute_force(spark, documents, monkeypatch):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.occurrences(documents(rows), table, F.col("doc_id"), slop=decontam.SLOP).collect()
     assert {r.key: r.near_items for r in got} == expected
+    # The query's digest of them, and what its SQL says of the same rows.
+    digest = {d: (len(near), hashlib.sha256(",".join(near).encode()).hexdigest()) for d, near in expected.items()}
+    told = decontam.report(documents(rows), table).collect()
+    assert {r.doc_id: (r.n_near_items, r.near_items_sha256) for r in told} == digest
+    assert any(r.n_near_items > r.n_items for r in told)
+    db = duckdb.connect()
+    for name, own in (("documents", pd.DataFrame(rows, columns=["doc_id", "text"])),
+                      ("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))):
+        db.register(name, own)
+    stated = db.execute(SQL["op6_decontamination"]).fetchdf()
+    assert {r.doc_id: (r.n_near_items, r.near_items_sha256) for r in stated.itertuples()} == digest
 
 
 def test_pipeline_drops_near_passages(spark, documents, tmp_path):
