@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventloom.functions.scalars import instant
+from eventloom.functions.variants import bind
 
 
 def sort_key(occurred_at_iso: Column, event_id: Column) -> Column:
@@ -26,10 +27,16 @@ def decode_cursor(cursor: Column) -> Column:
     ``occurred_at`` and ``event_id`` are NULL unless the sort key has two parts.
     """
     url = F.rtrim(F.translate(cursor, "-_", "+/"), F.lit("="))
-    padded = F.concat(url, F.repeat(F.lit("="), F.pmod(F.lit(4) - F.length(url), F.lit(4))))
-    text = F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
-    body = F.try_parse_json(text)
-    pk, sk = _string_field(body, "pk"), _string_field(body, "sk")
+    # Each step is bound, so that it, and the cursor itself, is worked out once and not once per use.
+    text = bind(url, lambda u: F.try_validate_utf8(F.try_to_binary(
+        F.concat(u, F.repeat(F.lit("="), F.pmod(F.lit(4) - F.length(u), F.lit(4)))), F.lit("base64"))
+        .cast("string")))
+    fields = bind(F.try_parse_json(text), lambda body: F.struct(
+        _string_field(body, "pk").alias("pk"), _string_field(body, "sk").alias("sk")))
+    return bind(fields, lambda f: _parts(f["pk"], f["sk"]))
+
+
+def _parts(pk: Column, sk: Column) -> Column:
     valid = F.coalesce((pk != "") & (sk != ""), F.lit(False))
     parts = F.split(sk, "#", -1)
     two = valid & (F.size(parts) == 2)
@@ -44,5 +51,5 @@ def decode_cursor(cursor: Column) -> Column:
 
 
 def _string_field(body: Column, name: str) -> Column:
-    value = F.try_variant_get(body, f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return bind(F.try_variant_get(body, f"$.{name}", "variant"), lambda value: F.when(
+        F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")))

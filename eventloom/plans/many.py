@@ -12,9 +12,9 @@ from eventloom.session import materialise
 # A request goes by all the ids it names together: there are eight such paths, that of the app alone too.
 IDS = ("session_id", "user_id", "anonymous_id")
 APP = "app"
-HOUR, SECOND = 3600, 1
-#: Hours with more rows than this, some pages, are narrowed to seconds.
-HOT_ROWS = 10_000
+DAY, HOUR, MINUTE, SECOND = 86_400, 3600, 60, 1
+#: Hours with more rows than this, a few pages, are narrowed to seconds.
+HOT_ROWS = 500
 
 REQUEST_COLUMNS = (
     "request_id", "app_id", "start", "end", "types", "names", "user_id", "anonymous_id",
@@ -32,31 +32,31 @@ def query_many(store: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS)
 
     Requests meet events on app, the ids they name and the hour.  A request that names several
     ids goes by all of them as one key, so the counts are of rows that match them all, however
-    many rows each id has.  Row counts per hour tell which hours a request needs to fill its
-    page; an hour with more rows than some pages is narrowed to seconds the same way.  So a
-    request is paired with a few pages of rows, unless a single second holds more.
+    many rows each id has.  Row counts per day, then per hour of the days in question, tell which
+    hours a request needs to fill its page; an hour with more rows than a few pages is narrowed to
+    minutes and seconds the same way.  So a request is compared with some dozens of counts a step
+    and paired with a few pages of rows, unless a single second holds more.
     """
-    wanted = materialise(_with_path(requests), "requests")
+    wanted = materialise(_with_path(requests).distinct(), "requests")
     facts = wanted.agg(
         F.collect_set("r_path").alias("paths"), F.max("r_limit").alias("limit"),
         F.min("r_start").alias("start"), F.max("r_end").alias("end")).first()
     events = _by_path(store, sorted(facts.paths) or [APP], facts.start, facts.end)
 
-    bounds = {"low": _bucket(F.col("r_start"), HOUR), "high": _bucket(F.col("r_end"), HOUR)}
-    needed = materialise(
-        _needed(_bucketed(events, HOUR), wanted.withColumns(bounds), HOUR, ("r_request_id",)),
-        "hours")
+    keys = _renamed(wanted).select("app_id", "path", "key").distinct()
+    sizes = _sizes(_bucketed(events, HOUR).join(keys, ["app_id", "path", "key"], "left_semi"), "sizes")
+    days = _needed(_coarser(sizes, HOUR, DAY), wanted, DAY).drop("rows")
+    needed = materialise(_needed(sizes, materialise(days, "days"), HOUR, DAY), "hours")
     calm, hot = needed.where(F.col("rows") <= hot_rows), needed.where(F.col("rows") > hot_rows)
     pairs = _meet(_bucketed(events, HOUR), calm)
     if not hot.isEmpty():
-        seconds = hot.withColumnRenamed("bucket", "hour").drop("rows").withColumns({
-            "low": F.col("hour") * HOUR, "high": F.col("hour") * HOUR + HOUR - 1})
         in_hot_hours = _bucketed(events, HOUR).join(
             materialise(_renamed(hot).select(*MEETING).distinct(), "hot"),
             list(MEETING), "left_semi")
-        fine = _needed(_bucketed(in_hot_hours, SECOND), seconds, SECOND, ("r_request_id", "hour"))
-        fine = materialise(fine.drop("hour"), "seconds")
-        pairs = pairs.unionByName(_meet(_bucketed(events, SECOND), fine))
+        fine = _sizes(_bucketed(in_hot_hours, SECOND), "fine-sizes")
+        minutes = _needed(_coarser(fine, SECOND, MINUTE), hot.drop("rows"), MINUTE, HOUR).drop("rows")
+        seconds = _needed(fine, materialise(minutes, "minutes"), SECOND, MINUTE)
+        pairs = pairs.unionByName(_meet(_bucketed(events, SECOND), materialise(seconds, "seconds")))
     return _pages(pairs, facts.limit or 0)
 
 
@@ -137,26 +137,37 @@ def _behind_cursor() -> Column:
     ).otherwise((ts < at) | ((ts == at) & (ident < last)))
 
 
-def _needed(
-    events: DataFrame, wanted: DataFrame, seconds: int, per: tuple[str, ...]
-) -> DataFrame:
+def _sizes(events: DataFrame, label: str) -> DataFrame:
+    """Row counts of the buckets by what a request may ask of their events.
+
+    Counts are written: their join with the requests can then split a hot app.
+    """
+    return materialise(events.groupBy(*MEETING, "type", "name").agg(F.count("*").alias("__rows")), label)
+
+
+def _coarser(sizes: DataFrame, seconds: int, wider: int) -> DataFrame:
+    """The counts of buckets of ``wider`` seconds from those of ``seconds``."""
+    bucket = F.floor(F.col("bucket") / F.lit(wider // seconds)).cast("bigint")
+    return sizes.withColumn("bucket", bucket).groupBy(*MEETING, "type", "name").agg(
+        F.sum("__rows").alias("__rows"))
+
+
+def _needed(sizes: DataFrame, wanted: DataFrame, seconds: int, within: int | None = None) -> DataFrame:
     """The buckets, in the request's order, until the page is full.
 
     Events are counted before they meet the requests.  Only buckets that lie wholly
-    inside the range count towards the page.
+    inside the range count towards the page.  ``wanted`` has the buckets of ``within`` seconds
+    that were found to be needed, if any were looked for.
     """
-    keys = _renamed(wanted).select("app_id", "path", "key").distinct()
-    sizes = (
-        events.join(keys, ["app_id", "path", "key"], "left_semi")
-        .groupBy(*MEETING, "type", "name").agg(F.count("*").alias("__rows"))
-    )
-    # Counts are written: their join with the requests can then split a hot app.
-    sizes = materialise(sizes, "sizes")
-    kept = [c for c in wanted.columns if c not in ("low", "high")]
+    on = ((sizes["app_id"] == wanted["r_app_id"]) & (sizes["path"] == wanted["r_path"])
+          & (sizes["key"] == wanted["r_key"])
+          & sizes["bucket"].between(_bucket(wanted["r_start"], seconds), _bucket(wanted["r_end"], seconds)))
+    if within is not None:
+        wanted = wanted.withColumnRenamed("bucket", "__within")
+        on = on & (F.floor(sizes["bucket"] / F.lit(within // seconds)).cast("bigint") == wanted["__within"])
+    kept = [c for c in wanted.columns if c != "__within"]
     found = (
-        sizes.join(wanted, (sizes["app_id"] == wanted["r_app_id"])
-                   & (sizes["path"] == wanted["r_path"]) & (sizes["key"] == wanted["r_key"])
-                   & sizes["bucket"].between(wanted["low"], wanted["high"]))
+        sizes.join(wanted, on)
         .where(_labels_match())
         .groupBy(*kept, "bucket").agg(F.sum("__rows").alias("rows"))
     )
@@ -164,7 +175,7 @@ def _needed(
         F.col("bucket") < _bucket(F.col("r_end"), seconds))
     sure = F.when(whole, F.col("rows")).otherwise(0)
     step = F.when(F.col("r_sort") == "asc", F.col("bucket")).otherwise(-F.col("bucket"))
-    before = Window.partitionBy(*per).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("r_request_id").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     return (
         found.withColumn("__before", F.coalesce(F.sum(sure).over(before), F.lit(0)))
         .where(F.col("__before") <= F.col("r_limit")).drop("__before")
