@@ -267,7 +267,8 @@ def _open_part_issues(part: str, limits: Limits) -> str:
 
     value = f"e.{part}_value"
     root = "array(named_struct('members', root, 'items', CAST(NULL AS ARRAY<VARIANT>)))"
-    over = f"{_literal_units('s')} > {limits.max_string}"
+    # An escaped literal never takes fewer bytes than the UTF-16 units it stands for.
+    over = f"octet_length(s) > {limits.max_string} AND {_literal_units('s')} > {limits.max_string}"
     long_text = bind(f"to_json({value})", "json", cases((
         f"octet_length(json) > {limits.max_string} AND"
         f" exists({_string_literals('json')}, s -> {over})",
