@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventloom.session import materialise
-from eventloom.sources.id_table import already_known
+from eventloom.sources.id_table import already_known, among
 
 # Fixed value: why an event was skipped.
 DUPLICATE_REASON = "Duplicate event (already processed)"
@@ -97,20 +98,20 @@ def classify(events: DataFrame, store: DataFrame, same_day: bool = False) -> Dat
     ``stored`` for the first copy of a new event, ``repeat`` for further copies in
     the same batch, ``duplicate`` for events of the store or of an earlier batch.
 
-    Only ids are shuffled to find repeated and known ones.  What is found is written, so
-    Spark sends it to the events while it is small, and these stay where they are.
+    Only ids are shuffled to find repeated and known ones, counted in the tasks that read
+    them; where a first copy stands is asked for repeated ids alone.  What is found is written,
+    so Spark sends it to the events while it is small, and these stay where they are.
     """
-    first = copies_lookup(events)
-    lookup = (
-        first.withColumn("known", F.lit(False))
-        .unionByName(
-            known_ids(events, store, same_day).withColumn("known", F.lit(True)),
-            allowMissingColumns=True,
-        )
-        .groupBy("event_id")
-        .agg(F.max("first").alias("first"), F.max("known").alias("known"))
-    )
-    lookup = materialise(lookup, "repeats")
+    counted = materialise(events.groupBy("event_id").agg(F.count("*").alias("copies")), "counted")
+    known = known_ids(events, store, same_day) if same_day else among(counted, store, "event_id")
+    known = materialise(known, "known")
+    place = StructType(events.select(*FIRST_COPY).schema.fields)
+    lookup = known.select("event_id", F.lit(None).cast(place).alias("first"), F.lit(True).alias("known"))
+    repeated = counted.where("copies > 1 and event_id is not null").select("event_id")
+    if repeated.head(1):
+        first = copies_lookup(events.join(repeated, "event_id", "left_semi"))
+        fresh = materialise(first.join(known, "event_id", "left_anti"), "fresh")
+        lookup = lookup.unionByName(fresh.withColumn("known", F.lit(False)))
     other_batch = F.col("first.batch_id") != F.col("batch_id")
     other_place = F.col("first.event_index") != F.col("event_index")
     fate = (

@@ -108,6 +108,9 @@ def touched(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
     counts = sorted(r.buckets for r in known.select("buckets").distinct().collect())
     here = []
     for count in counts:
+        if count == 1:  # one bucket holds them all
+            here.append(F.col("buckets") == count)
+            continue
         own = ids.select(bucket_of(F.col(key), F.lit(count)).alias(BUCKET)).distinct()
         # As many numbers as there are buckets, at most.
         numbers = sorted(r[BUCKET] for r in own.collect())
@@ -121,11 +124,15 @@ def already_known(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
     Few ids are named to the scan of an id table, which then skips row groups by their Bloom
     filters; many are joined with the buckets they can be in.
     """
-    wanted = materialise(ids.select(key).distinct(), "wanted")
+    return among(materialise(ids.select(key).distinct(), "wanted"), known, key)
+
+
+def among(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``already_known`` for ids that are distinct and written down already."""
     if BUCKET in known.columns:
         few = [r[key] for r in wanted.where(F.col(key).isNotNull()).limit(FEW_IDS + 1).collect()]
         if len(few) <= FEW_IDS:
             buckets = wanted.where(F.col(key).isNotNull())
             return touched(buckets, known, key).where(F.col(key).isin(few)).select(key).distinct()
         known = touched(wanted, known, key)
-    return known.select(key).join(wanted, key, "left_semi").distinct()
+    return known.select(key).join(wanted.select(key), key, "left_semi").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom import fixtures as X
 from eventloom.functions.cursors import decode_cursor, encode_cursor
 from eventloom.model import JSON_TIME, Limits
-from eventloom.operators import rules
+from eventloom.operators import dedup, rules
 from eventloom.plans import many
 from eventloom.session import materialise, scratch
 from eventloom.sources import raw_store
@@ -98,3 +98,30 @@ def test_redelivered_batches_are_built_once(spark):
 def test_only_long_literals_are_unescaped():
     """Counting the units of a literal takes two regular expressions; bytes tell that most are short."""
     assert "octet_length(s) > 2048" in rules.event_issues(Limits())
+
+
+def test_places_are_asked_for_repeated_ids_only(spark, monkeypatch):
+    """An id that occurs once and is new costs a count, neither a sort nor a place."""
+    def rows(ids, batch):
+        at = BASE + timedelta(days=ord(batch))
+        return [(f"e{i}" if i is not None else None, batch, n, at) for n, i in enumerate(ids)]
+
+    schema = "event_id string, batch_id string, event_index int, received_at timestamp_ntz"
+    asked, look = [], dedup.copies_lookup
+
+    def counted(events):
+        asked.append(events.count())
+        return look(events)
+
+    monkeypatch.setattr(dedup, "copies_lookup", counted)
+    store = spark.createDataFrame([("e1",)], "event_id string")
+    single = spark.createDataFrame(rows([*range(50), None, None], "b"), schema)
+    fate = {(r.event_id, r.event_index): r.fate for r in dedup.classify(single, store).collect()}
+    assert not asked
+    assert {k for k, v in fate.items() if v != "stored"} == {("e1", 1)} and len(fate) == 52
+    again = single.unionByName(spark.createDataFrame(rows([3, 4, 4, 60, 60, 1], "c"), schema))
+    fate = {(r.event_id, r.batch_id, r.event_index): r.fate for r in dedup.classify(again, store).collect()}
+    assert asked == [9]
+    assert {k: v for k, v in fate.items() if v != "stored"} == {
+        ("e1", "b", 1): "duplicate", ("e1", "c", 5): "duplicate", ("e3", "c", 0): "duplicate",
+        ("e4", "c", 1): "duplicate", ("e4", "c", 2): "duplicate", ("e60", "c", 4): "repeat"}
