@@ -93,6 +93,8 @@ def _read_leaves(e: Column) -> Column:
         m["context"].alias("context_value"),
         m["properties"].alias("properties_value"),
         m["traits"].alias("traits_value"),
+        F.to_json(m["properties"]).alias("properties_json"),
+        F.to_json(m["traits"]).alias("traits_json"),
     )
 
 
@@ -244,8 +246,8 @@ def parsed_event(e: Column) -> Column:
         .when(e["page"].isNotNull(), F.to_json(stripped_context(e["context_value"])))
         .otherwise(F.to_json(e["context_value"])),
         "consent": e["typed_consent"],
-        "properties": F.when(~identify, F.to_json(e["properties_value"])),
-        "traits": F.when(identify, F.to_json(e["traits_value"])),
+        "properties": F.when(~identify, e["properties_json"]),
+        "traits": F.when(identify, e["traits_json"]),
     }
     return F.struct(*[columns[f.name].cast(f.dataType).alias(f.name) for f in EVENT_FIELDS])
 

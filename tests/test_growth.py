@@ -1,11 +1,14 @@
 """What keeps the cost of a job in step with its input."""
 
+import hashlib
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from eventloom import fixtures as X
 from eventloom.functions.cursors import decode_cursor, encode_cursor
+from eventloom.functions.scalars import md5_uuid
 from eventloom.model import JSON_TIME, Limits
 from eventloom.operators import dedup, rules
 from eventloom.plans import many
@@ -100,6 +103,14 @@ def test_only_long_literals_are_unescaped():
     assert "octet_length(s) > 2048" in rules.event_issues(Limits())
 
 
+def test_a_clean_event_is_told_without_lists_per_part():
+    """The lists of issues are only put together where an event has one; its text is written once."""
+    sql = rules.event_issues(Limits())
+    fine = sql.index("CASE WHEN coalesce(")
+    assert fine < sql.index("ELSE concat(array_compact(")
+    assert "to_json(" not in sql
+
+
 def test_places_are_asked_for_repeated_ids_only(spark, monkeypatch):
     """An id that occurs once and is new costs a count, neither a sort nor a place."""
     def rows(ids, batch):
@@ -125,3 +136,11 @@ def test_places_are_asked_for_repeated_ids_only(spark, monkeypatch):
     assert {k: v for k, v in fate.items() if v != "stored"} == {
         ("e1", "b", 1): "duplicate", ("e1", "c", 5): "duplicate", ("e3", "c", 0): "duplicate",
         ("e4", "c", 1): "duplicate", ("e4", "c", 2): "duplicate", ("e60", "c", 4): "repeat"}
+
+
+def test_ids_in_uuid_shape_without_a_pattern(spark):
+    made = spark.range(20).select("id", md5_uuid(F.col("id").cast("string")).alias("u"))
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for r in made.collect():
+        assert r.u == str(uuid.UUID(hashlib.md5(str(r.id).encode()).hexdigest()))
+    assert spark.range(1).select(md5_uuid(F.lit(None).cast("string")).alias("u")).first().u is None
