@@ -120,6 +120,12 @@ def on_budget(apart: Column) -> Column:
     return reduce(Column.__or__, chains)
 
 
+def may_link(x: Column, y: Column) -> Column:
+    """Do two fingerprints differ in few enough bits, no chain of segments in too many?"""
+    apart = x.bitwiseXOR(y)
+    return (F.bit_count(apart) <= BITS) & on_budget(apart)
+
+
 def verify(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of fingerprints that are linked: chains first, then the full check."""
     apart = pairs.withColumn("apart", F.col("a").bitwiseXOR(F.col("b")))
@@ -131,7 +137,7 @@ def groups(prints: DataFrame) -> DataFrame:
     nodes = stored(prints.groupBy("code").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "codes")
     members = nodes.select(F.explode(ring_keys(F.col("code"))).alias("bucket"), F.col("code").alias("node"))
-    _, found = link_groups(members, verify)
+    _, found = link_groups(members, verify, may_link=may_link)
     # A group's root stands in no row of its own there.
     rooted = stored(nodes.join(found, nodes["code"] == found["node"], "left").select(
         "code", "copies", "least", F.coalesce("root", "code").alias("root")), "rooted")

@@ -245,6 +245,20 @@ def test_a_large_group_of_unlike_codes_by_brute_force(spark):
     assert got == {_signed(c): find(i) for i, c in enumerate(codes)}
 
 
+def test_unlike_codes_of_a_key_are_no_rows(spark, monkeypatch):
+    """Small keys are paired off in one join whose condition drops the unlike; no further rounds."""
+    rng = random.Random(6)
+    base = rng.getrandbits(64) & ~0xFFFFFFFF
+    codes = sorted({base | rng.getrandbits(32) for _ in range(100)})
+    prints = spark.createDataFrame([(i, _signed(c)) for i, c in enumerate(codes)], "doc_id long, code long")
+    seen = []
+    verify = simhash.verify
+    monkeypatch.setattr(simhash, "verify", lambda pairs: seen.append(pairs.count()) or verify(pairs))
+    simhash.groups(prints).collect()
+    near = sum((a ^ b).bit_count() <= 3 for a, b in itertools.combinations(codes, 2))
+    assert seen == [near]
+
+
 # ------------------------------------------------------------------ filter audit
 
 def expected_audit(rows, labels):
