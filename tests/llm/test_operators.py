@@ -842,3 +842,25 @@ def test_short_and_unspaced_lines(documents, spark, tmp_path):
     gone = {p for g in groups for p in g} - {min(g, key=lambda p: (order[p[0]], p[1])) for g in groups}
     got = QUERIES["op10_fuzzy_lines"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, int(n)) for r in got for n in r.removed.split(",") if n} == gone
+
+
+def test_unlike_lines_of_a_bucket_are_no_rows(documents, monkeypatch):
+    """Lines of few words share many keys; only those near in code and length reach the verifier."""
+    rng = random.Random(41)
+    rows = [(i, " ".join(rng.sample([f"{w}word" for w in "abcdefghijkl"], 6))) for i in range(40)]
+    seen = []
+    verifier = lines._verifier
+
+    def looking(docs, classes, min_words):
+        verify, told = verifier(docs, classes, min_words), lines._told(classes)
+
+        def looked(pairs):
+            both = lines._with_both(pairs, told, "told")
+            seen.append((pairs.count(), both.where(lines.may_link(F.col("x"), F.col("y"))).count()))
+            return verify(pairs)
+
+        return looked
+
+    monkeypatch.setattr(lines, "_verifier", looking)
+    assert lines.report(documents(rows)).count() == len(rows)
+    assert seen and all(n == near for n, near in seen) and seen[0][0] < 40 * 39 // 2
