@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -864,3 +865,20 @@ def test_unlike_lines_of_a_bucket_are_no_rows(documents, monkeypatch):
     monkeypatch.setattr(lines, "_verifier", looking)
     assert lines.report(documents(rows)).count() == len(rows)
     assert seen and all(n == near for n, near in seen) and seen[0][0] < 40 * 39 // 2
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), _shuffle_files(spark)
+    made = graph.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("u")).agg(F.count("*").alias("n")), "t-swept")
+    until = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get(key) == setting
+    assert sorted(r.n for r in made.collect()) == [142] + [143] * 6
