@@ -882,3 +882,14 @@ def test_stored_steps_leave_no_shuffle_files(spark):
     assert not _shuffle_files(spark) - before
     assert spark.conf.get(key) == setting
     assert sorted(r.n for r in made.collect()) == [142] + [143] * 6
+
+
+def test_lines_are_normalised_once(documents):
+    """The rows of ``report`` have their normalised lines and no text; both forms lose the same lines."""
+    rng = random.Random(43)
+    passage = prose(rng, 30)
+    rows = [(i, f"{prose(rng, 8)}\n{passage}!\n\nok") for i in range(6)] + [(7, None), (8, passage.upper())]
+    numbered = graph.numbered(documents(rows).coalesce(1).select("doc_id", "text"), "t-norms")
+    norms = numbered.select("row", lines._norms(F.col("doc.text")).alias("norms"))
+    got, want = ({(r.row, *r.lines) for r in lines.duplicates(d, 1).collect()} for d in (norms, numbered))
+    assert got == want and len(got) == 6
