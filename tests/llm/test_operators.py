@@ -893,3 +893,73 @@ def test_lines_are_normalised_once(documents):
     norms = numbered.select("row", lines._norms(F.col("doc.text")).alias("norms"))
     got, want = ({(r.row, *r.lines) for r in lines.duplicates(d, 1).collect()} for d in (norms, numbered))
     assert got == want and len(got) == 6
+
+
+def _near_copies(rng, n):
+    """Lines of one group, each with one word of its own, and some that share half of their words."""
+    base = prose(rng, 40).split()
+    rows = []
+    for i in range(n):
+        words = list(base)
+        words[rng.randrange(40)] = f"other{i}"
+        rows.append((i, " ".join(words)))
+    return rows + [(n + i, " ".join(base[:20]) + " " + prose(rng, 20)) for i in range(6)]
+
+
+def test_near_copies_are_verified_against_hubs_only(documents, monkeypatch):
+    """A group of near copies costs a few pairs a line and key, not all pairs of a bucket."""
+    rows = _near_copies(random.Random(47), 100)
+    seen = []
+    verifier = lines._verifier
+
+    def looking(*args):
+        verify = verifier(*args)
+        return lambda pairs: seen.append(pairs.count()) or verify(pairs)
+
+    monkeypatch.setattr(lines, "_verifier", looking)
+    got = lines.report(documents(rows)).collect()
+    assert sum(r.n_removed for r in got) == 99
+    assert 99 <= sum(seen) < 100 * 99 // 4
+
+
+def test_pairs_in_parts_give_the_same_lines(documents, monkeypatch):
+    rows = _near_copies(random.Random(48), 40)
+    table = documents(rows).coalesce(1)
+    want = sorted((r.doc_id, r.removed) for r in lines.report(table).collect())
+    written, stored = [], graph.stored
+    monkeypatch.setattr(lines, "stored", lambda df, label: written.append(label) or stored(df, label))
+    monkeypatch.setattr(lines, "PART", 1 << 10)
+    assert sorted((r.doc_id, r.removed) for r in lines.report(table).collect()) == want
+    assert written.count("bounded") > 2 and sum(bool(removed) for _, removed in want) == 39
+
+
+@pytest.mark.parametrize("near", [0, 3, 40])
+def test_link_near_loses_no_link(spark, near, monkeypatch):
+    """Groups by brute force, also where chunks are small and the hub joins few, some or all."""
+    monkeypatch.setattr(graph, "GRID", 7)
+    rng = random.Random(49)
+    members = sorted({(b, n) for b in range(6) for n in rng.sample(range(300), 5 + 20 * b)} | {(9, 1)})
+    df = spark.createDataFrame(members, "bucket long, node long").repartition(5)
+    told = spark.range(300).select(F.col("id").alias("node"), F.col("id").alias("told"))
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r.a, r.b, r.limit) for r in pairs.collect())
+        return pairs.where(F.col("b") - F.col("a") <= near)
+
+    found = graph.link_near(df, verify, told, lambda x, y: F.abs(x - y) <= near + 2, lambda x, y: x + y)
+    root = list(range(300))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    met = {(a, b) for k, a in members for j, b in members if k == j and a < b and b - a <= near + 2}
+    for a, b in sorted(met):
+        if b - a <= near:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    got = {r.node: r.root for r in found.collect()}
+    assert {n: got.get(n, n) for _, n in members} == {n: top(n) for _, n in members}
+    assert {(a, b) for a, b, _ in asked} <= met and all(limit == a + b for a, b, limit in asked)
